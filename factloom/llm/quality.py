@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import SPACES, WORD_CHAR, Scratch, let, table
+from factloom.llm.common import SPACES, WORD_CHAR, Scratch, let, table, words_of
 
 #: Characters counted as symbols.
 SYMBOLS = r"[#*$%&|<>]"
@@ -50,10 +50,7 @@ def with_measures(rows: DataFrame, text_col: str) -> DataFrame:
     """
     kept = rows.columns
     text = F.coalesce(F.col(text_col), F.lit(""))
-    blank = text
-    for c in "\t\n\x0b\x0c\r":
-        blank = F.replace(blank, F.lit(c), F.lit(" "))
-    rows = rows.withColumn("_w", F.array_remove(F.split(blank, " ", -1), ""))
+    rows = rows.withColumn("_w", words_of(F.col(text_col)))
     rows = rows.select(
         *[F.col(f"`{c}`") for c in kept],
         F.size("_w").cast("bigint").alias("_n"),

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.llm.mixing import op8_mixing
 from factloom.llm.packing import op1_packing
 from factloom.llm.quality import op4_quality_rules
 
@@ -14,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op4_quality_rules": op4_quality_rules,
+        "op8_mixing": op8_mixing,
     }
 
 
