@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from factloom.llm.mixing import op8_mixing
 from factloom.llm.packing import op1_packing
 from factloom.llm.quality import op4_quality_rules
+from factloom.llm.secrets import op7_secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op4_quality_rules": op4_quality_rules,
+        "op7_secrets": op7_secrets,
         "op8_mixing": op8_mixing,
     }
 
