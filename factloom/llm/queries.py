@@ -11,12 +11,14 @@ from factloom.llm.mixing import op8_mixing
 from factloom.llm.packing import op1_packing
 from factloom.llm.quality import op4_quality_rules
 from factloom.llm.secrets import op7_secrets
+from factloom.llm.substring import op6_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op4_quality_rules": op4_quality_rules,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_secrets": op7_secrets,
         "op8_mixing": op8_mixing,
         "op10_jaccard_join": op10_jaccard_join,
