@@ -8,6 +8,7 @@ passes in a table in the shared folder, so a lost executor costs the tasks it ra
 
 from __future__ import annotations
 
+import struct
 import sys
 import types
 from collections.abc import Iterator
@@ -52,51 +53,40 @@ class TextEncoder:
         parts = json.loads(spec)
         before = parts.get("pre_tokenizer") or {}
         self.by_word = not parts.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
-        self.remembered, self.inner, self.first = remembered, {}, {}
-        self.line_end = self.whole(["\n"])[0]
+        self.remembered, self.known = remembered, {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, known: dict[str, bytes], words: list[str], lead: str) -> dict[str, bytes]:
-        new = [w for w in set(words) if w not in known]
-        ids = dict(zip(new, self.whole([lead + w for w in new]), strict=True))
-        if len(known) < self.remembered:
-            known.update(ids)
-            return known
-        return known | ids if len(ids) > len(known) else _Both(ids, known)
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return self.whole(texts)
         out: list[bytes | None] = [None] * len(texts)
-        split = []
-        for k, text in enumerate(texts):
-            lines = [line.split(" ") for line in text.split("\n")]
-            if any("" in line for line in lines):
-                continue
-            split.append((k, lines))
-        inner = self._learn(self.inner, [w for _, lines in split for line in lines for w in line[1:]], " ").__getitem__
-        first = self._learn(self.first, [line[0] for _, lines in split for line in lines], "").__getitem__
-        for k, lines in split:
-            out[k] = self.line_end.join([first(line[0]) + b"".join(map(inner, line[1:])) for line in lines])
+        # A line end opens the word after it; a word that is empty or a line end alone shows white space in a row.
+        split = [text.replace("\n", " \n").split(" ") for text in texts]
+        plain = [k for k, words in enumerate(split) if "" not in words and "\n" not in words]
+        heads = [split[k][0] for k in plain]
+        need: set[str] = set()
+        for k in plain:
+            split[k][0] = ""
+            need.update(split[k])
+        new = list(need.difference(self.known))
+        ids = self.whole([w if w[:1] == "\n" or not w else " " + w for w in new] + heads)
+        fresh = dict(zip(new, ids, strict=False))
+        if len(self.known) < self.remembered:
+            self.known.update(fresh)
+            fresh = self.known
+        else:
+            fresh.update((w, self.known[w]) for w in need if w in self.known)
+        get = fresh.__getitem__
+        for k, head in zip(plain, ids[len(new) :], strict=True):
+            out[k] = head + b"".join(map(get, split[k]))
         rest = [k for k, x in enumerate(out) if x is None]
-        for k, ids in zip(rest, self.whole([texts[k] for k in rest]), strict=True):
-            out[k] = ids
+        for k, x in zip(rest, self.whole([texts[k] for k in rest]), strict=True):
+            out[k] = x
         return out
 
 
-class _Both(dict):
-    def __init__(self, ids: dict[str, bytes], known: dict[str, bytes]):
-        super().__init__(ids)
-        self.known = known
-
-    def __missing__(self, word: str) -> bytes:
-        return self.known[word]
-
-
 def token_rows(docs: DataFrame, tokenizer_json: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
     """Pass one: ids of each row with end_id after them, and where they start among the partition's."""
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
@@ -108,8 +98,8 @@ def token_rows(docs: DataFrame, tokenizer_json: str, id_col: str, text_col: str,
         encoder = worker_state("encoder" + str(hash(spec.value)), lambda: TextEncoder(spec.value))
         pid, at, starts = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 128):
-                part = batch.slice(k, 128)
+            for k in range(0, batch.num_rows, 512):
+                part = batch.slice(k, 512)
                 ids = [x + end for x in encoder.encode([x or "" for x in part.column(1).to_pylist()])]
                 n = [len(x) // 4 for x in ids]
                 begin = []
