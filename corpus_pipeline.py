@@ -1,10 +1,13 @@
-"""The corpus pipeline: quality rules, near-duplicate removal, secret scans, mixing, packing."""
+"""The corpus pipeline: quality rules, near-duplicate removal, secret scans, mixing, packing.
+
+Each stage is written as a table in the shared folder and read again by the next, so a lost executor costs tasks of one stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import quality
+from factloom.llm import jaccard, mixing, packing, quality, secrets
 from factloom.llm.common import Scratch
 
 
@@ -13,18 +16,44 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: one document of each class of near copies stays, that of the least doc_id."""
+    return jaccard.keep_one(docs)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: secrets are masked; no document goes."""
+    return secrets.mask_secrets(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: documents as often as the mix takes them, in the order of training; n_chars follows a cut text."""
+    return mixing.mixed_rows(docs, chars_col="n_chars")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: pieces of the sequences to train on, with their ids."""
+    return packing.pack(docs, packing.tokenizer_file())
+
+
 STAGES = [
     ("quality rules", quality_stage),
+    ("n-gram Jaccard join", near_duplicates_stage),
+    ("secret scans", secrets_stage),
+    ("mixing sources", mixing_stage),
+    ("packing", packing_stage),
 ]
 
-#: Tokenization, compression and the joins' recursion have no SQL; tests hold the stages against brute force.
+#: Sampled paths, compression and tokenization have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over documents, each written as Parquet and read again by the next."""
+    """The stages in order over documents."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.write(stage(spark, docs, sf_dir), f"stage{k}")
+        if k > 1:
+            scratch.drop(f"stage{k - 2}")
     return docs

@@ -145,10 +145,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return plan_of(docs, id_col, text_col, source_col, **settings).repartitionByRange("position", "h1").sortWithinPartitions("position", "h1")
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", slopes: tuple[float, ...] = SLOPES, **settings) -> DataFrame:
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = None, slopes: tuple[float, ...] = SLOPES, **settings) -> DataFrame:
     """The mix itself: rows of docs, with all their columns, as often as it takes them, range-sorted by position.
 
-    The one row of a source where the last round breaks off is cut after its `rest` words, which then stand one space apart.
+    The one row of a source where the last round breaks off is cut after its `rest` words, which then stand one space apart; chars_col, if named and
+    there, gets the length of the cut text.
     Equal rows take turns, so one text serves all rows of the plan that are equal.
     """
     columns = docs.columns
@@ -170,7 +171,10 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pieces = words_of(own)
     shortened = F.array_join(F.slice(pieces, F.lit(1), F.col("_t.rest").cast("int")), " ")
     kept = F.when(~F.col("_round.last"), own).when(F.col("_t.rest") >= F.size(pieces), own).otherwise(shortened)
-    rows = rows.select(F.struct(*[(kept if c == text_col else F.col("_row").getField(c)).alias(c) for c in columns]).alias("_row"), at.alias("_position"), F.col("_t.rank").alias("_rank"))
+    cut = F.col("_round.last") & (F.col("_t.rest") < F.size(pieces))
+    chars = F.when(cut, F.length(kept)).otherwise(F.col("_row").getField(chars_col)).cast(docs.schema[chars_col].dataType) if chars_col in columns else None
+    field = lambda c: kept if c == text_col else chars if c == chars_col else F.col("_row").getField(c)
+    rows = rows.select(F.struct(*[field(c).alias(c) for c in columns]).alias("_row"), at.alias("_position"), F.col("_t.rank").alias("_rank"))
     return rows.repartitionByRange("_position", "_rank").sortWithinPartitions("_position", "_rank").select("_row.*")
 
 

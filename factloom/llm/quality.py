@@ -155,7 +155,8 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     sunk = depleted_texts(docs, text_col, host_col, min_line_docs, line_share, min_left)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     good = with_measures(docs.select(whole, F.col(text_col).alias("_t"), host_key(F.col(host_col).cast("string")).alias("hh"), content_key(F.col(text_col)).alias("ck")), "_t")
-    return good.where(~F.col("_m.base_failed")).drop("_t").join(sunk, ["hh", "ck"], "left_anti").select("_row.*")
+    # The row number is named in the filter so that it stays: it keeps the filter above the measures.
+    return good.where(~F.col("_m.base_failed") & (F.col("_at") >= 0)).drop("_t").join(sunk, ["hh", "ck"], "left_anti").select("_row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.llm.jaccard import op10_jaccard_join
+from factloom.llm.language import op2_language_id
 from factloom.llm.mixing import op8_mixing
 from factloom.llm.packing import op1_packing
 from factloom.llm.quality import op4_quality_rules
@@ -17,6 +18,7 @@ from factloom.llm.substring import op6_substring_dedup
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_language_id": op2_language_id,
         "op4_quality_rules": op4_quality_rules,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_secrets": op7_secrets,

@@ -1,0 +1,41 @@
+"""The pipeline's stages against what each promises of its input."""
+
+import re
+
+import corpus_pipeline
+from factloom.llm.mixing import mix
+from factloom.llm.secrets import Scanner
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, {r.doc_id: r for r in docs.collect()}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        rows = docs.collect()
+        if k == 4:
+            assert {r.doc_id for r in rows} == set(before)
+            break
+        assert docs.columns == columns
+        if k < 2:
+            assert all(r == before[r.doc_id] for r in rows) and len(rows) < len(before)
+        if k == 2:
+            assert len(rows) == len(before)
+            assert all(not sum(Scanner().scan(r.text), []) and r.n_chars == len(r.text) for r in rows)
+            taken = {r.doc_id: r.taken for r in mix(docs).collect()}
+        if k == 3:
+            words = {}
+            for r in rows:
+                assert r.n_chars == len(r.text)
+                words[r.doc_id] = words.get(r.doc_id, 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r.text))
+            assert words == {d: n for d, n in taken.items() if n}
+        else:
+            assert len({r.doc_id for r in rows}) == len(rows)
+        before = {r.doc_id: r for r in rows}
+
+
+def test_names():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "n-gram Jaccard join", "secret scans", "mixing sources", "packing"]
