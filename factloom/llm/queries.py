@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.llm.classifier import op9_quality_classifier
 from factloom.llm.embeddings import op5_embedding_dedup
 from factloom.llm.jaccard import op10_jaccard_join
 from factloom.llm.language import op2_language_id
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_substring_dedup": op6_substring_dedup,
         "op7_secrets": op7_secrets,
         "op8_mixing": op8_mixing,
+        "op9_quality_classifier": op9_quality_classifier,
         "op10_jaccard_join": op10_jaccard_join,
     }
 
