@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from factloom.llm import oracles
 from factloom.llm.classifier import op9_quality_classifier
 from factloom.llm.embeddings import op5_embedding_dedup
 from factloom.llm.jaccard import op10_jaccard_join
@@ -37,4 +38,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_sharding": SHARDING_SQL,
+        "op4_quality_rules": oracles.QUALITY,
+        "op5_embedding_dedup": oracles.EMBEDDINGS,
+        "op6_substring_dedup": oracles.SUBSTRING,
+        "op10_jaccard_join": oracles.JACCARD,
     }
