@@ -145,8 +145,10 @@ def paths(sets: DataFrame, scratch: Scratch, runs: int, depth: int, bucket: int)
     for d in range(depth):
         rows = scratch.write(rows, f"paths{d}")
         sizes = scratch.write(rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), f"sizes{d}")
-        small, large = sizes.where(F.col("members") <= bucket), sizes.where(F.col("members") > bucket)
-        found.append(rows.join(small.select("leaf"), "leaf", "left_semi").select("sid", "run", "leaf", F.col("leaf").alias("cell"), F.lit(-1).alias("side")))
+        small = sizes.where(F.col("members") <= bucket).select("leaf")
+        # A table of its own, so that its size is known: few buckets are large, and few rows then go on to the next step.
+        large = scratch.write(sizes.where(F.col("members") > bucket), f"large{d}")
+        found.append(rows.join(small.hint("merge"), "leaf", "left_semi").select("sid", "run", "leaf", F.col("leaf").alias("cell"), F.lit(-1).alias("side")))
         if d == depth - 1 or not large.head(1):
             break
         rows = rows.join(large.select("leaf"), "leaf", "left_semi").withColumn("leaf", F.xxhash64("leaf", step(d + 1)))
@@ -255,6 +257,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have no shingle and link with nothing; texts of one to four words are one shingle. Rows of one doc_id
     are rows of their own; a null doc_id is never the least unless it is the class's only one. Empty table: empty result.
     Further columns are not read.
+
+    The joins that carry samples, texts or sets are sort-merge joins at every size: their sides grow with the input.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -263,7 +267,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = scratch.write(some.groupBy("sid").agg(F.count(F.lit(1)).alias("weight"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("tk").alias("tk")), "sets")
     found = scratch.write(paths(sets, scratch, runs, depth, bucket), "cells")
     leaves = found.select("sid", "run", "leaf").distinct().groupBy("sid").agg(F.collect_list(F.struct("run", "leaf")).alias("leaves"))  # one for each run
-    cells = found.select("sid", "run", "cell", "side").join(sets.join(leaves, "sid"), "sid")
+    cells = found.select("sid", "run", "cell", "side").join(sets.join(leaves.hint("merge"), "sid").hint("merge"), "sid")
     schema = pa.schema([("cell", pa.int64()), ("sid", pa.int64()), ("weight", pa.int64()), ("tk", pa.int64()), ("at", pa.int32()), ("mask", pa.binary())])
     close = per_group(cells, "cell", first_look(runs, runs * depth, threshold), "cell long, sid long, weight long, tk long, at int, mask binary", schema)
     close = scratch.write(close, "close")
@@ -274,11 +278,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.record_batch([pa.array([set_key(x) if len(x) else None for x in out], pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())], names=["sid", "tokens"])
 
     wanted = close.select("tk").distinct()
-    texts = docs.select(F.col(text_col).cast("string").alias("t")).withColumn("tk", F.xxhash64("t")).join(wanted, "tk", "left_semi")
+    texts = docs.select(F.col(text_col).cast("string").alias("t")).withColumn("tk", F.xxhash64("t")).join(wanted.hint("merge"), "tk", "left_semi")
     texts = texts.groupBy("tk").agg(F.first("t").alias("t")).select(hashed_words("t").alias("wh"))
     built = texts.mapInArrow(tokens, "sid long, tokens binary")
     schema = pa.schema([("sid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
-    links = scratch.write(per_group(close.join(built, "sid"), "cell", second_look(threshold), "sid long, links long, root long", schema), "links")
+    links = scratch.write(per_group(close.join(built.hint("merge"), "sid"), "cell", second_look(threshold), "sid long, links long, root long", schema), "links")
     linked = links.groupBy("sid").agg(F.sum("links").alias("links"))
     classes = connected_components(links.select(F.col("sid").alias("u"), F.col("root").alias("v")), "jaccard-classes")
     nodes = sets.select("sid", "weight").join(classes, sets["sid"] == classes["node"], "left").drop("node").join(linked, "sid", "left")
