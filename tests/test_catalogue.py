@@ -1,13 +1,14 @@
 """Every query that has SQL against DuckDB, on the smallest data set: same columns, same rows."""
 
 import math
+import os
 
 import duckdb
 import pytest
 
 from factloom.plans import catalogue
 
-SF = "/root/testdata/sf0.001"
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
