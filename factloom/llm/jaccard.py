@@ -3,17 +3,19 @@
 Each text is the set of its five-word shingles; texts of one set are one node with a weight. A run follows, for every set, a path
 of sampled tokens: at each step the set's token that is least under a hash of that run and step, so that two sets take the same
 step with the probability of their similarity. Buckets that a step leaves too large are split by the next step, small ones are
-compared, and `runs` runs are made: a pair of similarity s meets in a run with probability s^steps, so the default twelve runs miss
-a pair at 0.8 that needs two steps with 0.36^12 (5e-6), three with 0.488^12 (2e-4).
-A bucket that no step splits holds sets that are alike: it is cut into tiles, and all pairs of tiles are compared, each in a
-task of bounded size. Pairs are never rows: a comparison hands on counts for its members, and a spanning forest of their links.
-
-First compared are 72 samples of each set, which drop pairs that are far below the threshold (4.5 standard deviations); the
-sets themselves are then built for what is left, and decide.
+compared, and runs are repeated until a target recall: a pair of similarity s meets in a run with probability s^steps at least, so
+as many runs are made as miss a pair at the threshold with no more than MISSED at the last step: twelve at 0.8 and two steps
+(0.36^12, 5e-6), however large its group.
+A bucket that the last step leaves too large is cut into tiles, and all pairs of tiles are compared, each in a task of bounded
+size. Pairs are never rows: a comparison hands on counts for its members, and a spanning forest of their links.
+
+First compared are 72 samples of each set or more, which drop pairs far below the threshold (one at the threshold with no more
+than UNSEEN); the sets themselves are then built for what is left, and decide.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,12 +28,30 @@ from factloom.llm.graph import connected_components, forest
 
 SHINGLE = 5
 THRESHOLD = 0.8
-RUNS, DEPTH = 12, 6
+DEPTH = 2
+#: Probabilities that a pair at the threshold meets in no run, and that its samples drop it; samples of a set at least.
+MISSED, UNSEEN, SAMPLES = 5e-6, 1e-6, 72
 #: Sets that are compared with each other in one step at most (a bucket, or two tiles of half of it).
 BUCKET = 1024
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
+def runs_for(threshold: float, depth: int, missed: float = MISSED) -> int:
+    """Runs after which a pair at the threshold that needs all steps has met but for a probability of missed."""
+    met = threshold**depth
+    return max(1, math.ceil(math.log(missed) / math.log1p(-met))) if met < 1 else 1
+
+
+def least_common(count: int, threshold: float, unseen: float = UNSEEN) -> int:
+    """Common samples of count that a pair at the threshold falls short of with probability unseen at most."""
+    below = 0.0
+    for k in range(count + 1):
+        below += math.comb(count, k) * threshold**k * (1 - threshold) ** (count - k)
+        if below > unseen:
+            return k
+    return count
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(MULTIPLIERS[1])
     x = (x ^ (x >> np.uint64(27))) * np.uint64(MULTIPLIERS[2])
@@ -115,7 +135,7 @@ def per_group(df: DataFrame, key: str, work: Callable[[pa.Table], list[tuple]],
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
-def signed_sets(docs: DataFrame, id_col: str, text_col: str, runs: int, depth: int) -> DataFrame:
+def signed_sets(docs: DataFrame, id_col: str, text_col: str, count: int) -> DataFrame:
     """Per row of docs: doc_id, tk (hash of the text), sid (key of its set; null without words), n (tokens), sig (samples)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +145,7 @@ def signed_sets(docs: DataFrame, id_col: str, text_col: str, runs: int, depth: i
                 tokens = shingles(words)
                 n.append(len(tokens))
                 sid.append(set_key(tokens) if len(tokens) else None)
-                sig.append(samples(tokens, runs * depth).tobytes() if len(tokens) else None)
+                sig.append(samples(tokens, count).tobytes() if len(tokens) else None)
             yield pa.record_batch([batch.column("doc_id"), batch.column("tk"), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "tk", "sid", "n", "sig"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
@@ -165,7 +185,7 @@ def paths(sets: DataFrame, scratch: Scratch, runs: int, depth: int, bucket: int)
 
 def first_look(runs: int, count: int, threshold: float) -> Callable[[pa.Table], list[tuple]]:
     """Of a cell, the members with a pair that no earlier run compares, whose samples and sizes allow the threshold; mask: with whom."""
-    least = int(np.floor(count * (threshold - 4.5 * np.sqrt(threshold * (1 - threshold) / count))))
+    least = least_common(count, threshold)
 
     def look(cell: pa.Table) -> list[tuple]:
         m = cell.num_rows
@@ -249,27 +269,29 @@ def second_look(threshold: float) -> Callable[[pa.Table], list[tuple]]:
     return look
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, runs: int = RUNS, depth: int = DEPTH, bucket: int = BUCKET) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, runs: int | None = None, depth: int = DEPTH, bucket: int = BUCKET) -> DataFrame:
     """Per row of docs: doc_id, tk, class_id, n_links, kept.
 
     Rows are linked if the sets of their five-word shingles have similarity threshold or more; a class is what links connect,
     named by its least doc_id; n_links counts the other rows linked directly, copies included. kept: the row that names the class.
     Null and empty texts have no shingle and link with nothing; texts of one to four words are one shingle. Rows of one doc_id
     are rows of their own; a null doc_id is never the least unless it is the class's only one. Empty table: empty result.
-    Further columns are not read.
+    Further columns are not read. Without runs, there are as many as the target recall needs (runs_for).
 
     The joins that carry samples, texts or sets are sort-merge joins at every size: their sides grow with the input.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
-    members = scratch.write(signed_sets(docs, id_col, text_col, runs, depth), "members")
+    runs = runs or runs_for(threshold, depth)
+    count = max(SAMPLES, runs * depth)
+    members = scratch.write(signed_sets(docs, id_col, text_col, count), "members")
     some = members.where("sid is not null")
     sets = scratch.write(some.groupBy("sid").agg(F.count(F.lit(1)).alias("weight"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("tk").alias("tk")), "sets")
     found = scratch.write(paths(sets, scratch, runs, depth, bucket), "cells")
     leaves = found.select("sid", "run", "leaf").distinct().groupBy("sid").agg(F.collect_list(F.struct("run", "leaf")).alias("leaves"))  # one for each run
     cells = found.select("sid", "run", "cell", "side").join(sets.join(leaves.hint("merge"), "sid").hint("merge"), "sid")
     schema = pa.schema([("cell", pa.int64()), ("sid", pa.int64()), ("weight", pa.int64()), ("tk", pa.int64()), ("at", pa.int32()), ("mask", pa.binary())])
-    close = per_group(cells, "cell", first_look(runs, runs * depth, threshold), "cell long, sid long, weight long, tk long, at int, mask binary", schema)
+    close = per_group(cells, "cell", first_look(runs, count, threshold), "cell long, sid long, weight long, tk long, at int, mask binary", schema)
     close = scratch.write(close, "close")
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

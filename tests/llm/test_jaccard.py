@@ -85,3 +85,22 @@ def test_components(spark):
     df = spark.createDataFrame(edges, "u long, v long")
     found = {r.node: r.component for r in connected_components(df).collect()}
     assert found == {**{k: 0 for k in range(41)}, 100: 90, 90: 90, 200: 200}
+
+
+def test_recall_of_a_group_that_no_step_splits(spark):
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(124)]
+    rows = []
+    for k in range(120):  # one word changed in each: any two texts have about 0.85, and every bucket stays above 8
+        at = rng.randrange(4, 120)
+        rows.append((k, " ".join([*base[:at], f"own{k}", *base[at + 1 :]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df, bucket=8) == brute(rows)
+
+
+def test_target_recall():
+    from factloom.llm import jaccard
+
+    for threshold, depth in ((0.8, 2), (0.8, 6), (0.5, 2)):
+        assert (1 - threshold**depth) ** jaccard.runs_for(threshold, depth) <= 5e-6
+    assert (jaccard.runs_for(0.8, jaccard.DEPTH), jaccard.runs_for(0.8, 6)) == (12, 41)
