@@ -270,10 +270,11 @@ def second_look(threshold: float) -> Callable[[pa.Table], list[tuple]]:
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, runs: int | None = None, depth: int = DEPTH, bucket: int = BUCKET) -> DataFrame:
-    """Per row of docs: doc_id, tk, class_id, n_links, kept.
+    """Per row of docs: doc_id, tk, component, class_id, n_links, kept.
 
     Rows are linked if the sets of their five-word shingles have similarity threshold or more; a class is what links connect,
-    named by its least doc_id; n_links counts the other rows linked directly, copies included. kept: the row that names the class.
+    named by its least doc_id; component tells classes apart where ids are null or repeated, and is null for a text without
+    words, a class of its own; n_links counts the other rows linked directly, copies included. kept: the row that names the class.
     Null and empty texts have no shingle and link with nothing; texts of one to four words are one shingle. Rows of one doc_id
     are rows of their own; a null doc_id is never the least unless it is the class's only one. Empty table: empty result.
     Further columns are not read. Without runs, there are as many as the target recall needs (runs_for).
@@ -312,24 +313,28 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = some.groupBy("sid").agg(F.min("doc_id").alias("least"))  # summed before the shuffle: a hot class is one row a task
     nodes = scratch.write(nodes.join(least, "sid"), "nodes")
     names = nodes.groupBy("component").agg(F.min("least").alias("class_id"))
-    nodes = nodes.join(names, "component").select("sid", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links"))
+    nodes = nodes.join(names, "component").select("sid", "component", "class_id", (F.col("links") + F.col("weight") - 1).alias("n_links"))
     rows = members.select("doc_id", "tk", "sid").join(nodes, "sid", "left")
     alone = F.col("sid").isNull()
     class_id = F.when(alone, F.col("doc_id")).otherwise(F.col("class_id"))
-    return rows.select("doc_id", "tk", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
+    return rows.select("doc_id", "tk", "component", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("doc_id").eqNullSafe(class_id).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """One row of each class, with all columns of docs: the one with the least doc_id, by the hash of its text among those."""
+    """One row of each class, with all columns of docs: the one with the least doc_id, by the hash of its text among those.
+
+    Rows without words link with nothing: each is a class of its own, and stays.
+    """
     keys = lambda i, t: (F.xxhash64(F.lit(1), i, i.isNull(), t), F.xxhash64(F.lit(2), t, i, i.isNull()))
-    found = jaccard_classes(docs, id_col, text_col, **settings).where("kept")
-    first = found.groupBy("class_id").agg(F.min("tk").alias("tk"))
+    found = jaccard_classes(docs, id_col, text_col, **settings).where("kept and component is not null")
+    first = found.groupBy("component").agg(F.min("class_id").alias("class_id"), F.min("tk").alias("tk"))
     k1, k2 = keys(F.col("class_id"), F.col("tk"))
     first = first.select(k1.alias("_k1"), k2.alias("_k2"))
     doc_id, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     k1, k2 = keys(doc_id, F.xxhash64(text))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), k1.alias("_k1"), k2.alias("_k2"))
-    return rows.join(first, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("_row.*")
+    blank = F.size(words_of(text)) == 0
+    rows = docs.where(~blank).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), k1.alias("_k1"), k2.alias("_k2"))
+    return rows.join(first, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("_row.*").union(docs.where(blank))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,12 @@ def test_one_of_each_class_stays(spark):
     assert keep_one(df.limit(0)).count() == 0 and jaccard_classes(df.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids_are_classes_of_their_own(spark):
+    rows = [(None, "a b c d e f"), (None, "g h i j k l"), (None, "m n o p q r"), (7, "s t u v w x"), (7, "y z a1 b1 c1 d1"), (None, ""), (None, None), (8, " ")]
+    df = spark.createDataFrame(rows + [(None, "a b c d e f"), (9, "s t u v w x")], "doc_id long, text string")
+    assert sorted(map(tuple, keep_one(df).collect()), key=str) == sorted(rows, key=str)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 90), (None, 3), (7, 7), (200, 200)]
     df = spark.createDataFrame(edges, "u long, v long")
