@@ -12,8 +12,8 @@ from factloom.llm.common import Scratch
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents that the rules reject go."""
-    return quality.keep_good(docs)
+    """Operator 4: documents that the rules reject go, and of the others the lines above the limits; n_chars follows."""
+    return quality.keep_good_lines(docs)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -94,6 +94,10 @@ def normal_line(line: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(F.lower(line), SPACES, " ")), "[0-9]+", "0")
 
 
+def line_hash(line: Column, host: Column) -> Column:
+    return F.xxhash64(host, host.isNull(), normal_line(line))
+
+
 def line_table(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
     """One row for each distinct text of a host: hh, ck, lines (array of hash h and characters w)."""
     text, host = F.coalesce(F.col(text_col), F.lit("")), F.col(host_col).cast("string")
@@ -102,7 +106,7 @@ def line_table(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
         return F.transform(
             lines,
             lambda x: F.struct(
-                F.xxhash64(host, host.isNull(), normal_line(x)).alias("h"),
+                line_hash(x, host).alias("h"),
                 F.length(x).cast("bigint").alias("w"),
             ),
         )
@@ -113,14 +117,14 @@ def line_table(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
     return rows.groupBy("hh", "ck").agg(F.min("lines").alias("lines"))
 
 
-def depleted_texts(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_line_docs: int = 20, line_share: float = 0.05, min_left: float = 0.5) -> DataFrame:
-    """(hh, ck) of the texts that lose more than 1 - min_left of the characters in lines with the lines above the limits.
+def lossy_texts(docs: DataFrame, scratch: Scratch, text_col: str, host_col: str, min_line_docs: int, line_share: float, min_left: float) -> DataFrame:
+    """Of each text with lines above the limits: hh, ck, hashes (of those lines), depleted.
+
+    Depleted is a text that loses more than 1 - min_left of the characters in lines with them.
 
     A line is above the limits if at least min_line_docs distinct texts of the host, and at least line_share of all of the
     host's, hold it. Line counts are summed before the shuffle, so a line on a third of all documents is one row a task.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "quality")
     texts = scratch.write(line_table(docs, text_col, host_col), "texts")
     once = texts.select("hh", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     counts = once.groupBy("h", "hh").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_line_docs)
@@ -128,11 +132,17 @@ def depleted_texts(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     above = counts.join(hosts, "hh").where(F.col("n") >= F.col("texts") * F.lit(line_share)).select("h")
     above = scratch.write(above, "above")  # a table of known size: Spark broadcasts it if it is small, else it shuffles
     lines = texts.select("hh", "ck", F.posexplode("lines").alias("i", "line")).select("hh", "ck", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
-    lost = lines.join(above, "h").groupBy("hh", "ck").agg(F.sum("w").alias("lost"))
+    lost = lines.join(above, "h").groupBy("hh", "ck").agg(F.sum("w").alias("lost"), F.collect_set("h").alias("hashes"))
     total = F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + x["w"])
-    sunk = lost.join(texts.select("hh", "ck", total.alias("total")), ["hh", "ck"])
-    sunk = sunk.where(F.col("total") - F.col("lost") < F.col("total") * F.lit(min_left)).select("hh", "ck")
-    return scratch.write(sunk, "depleted")
+    lossy = lost.join(texts.select("hh", "ck", total.alias("total")), ["hh", "ck"])
+    depleted = F.col("total") - F.col("lost") < F.col("total") * F.lit(min_left)
+    return lossy.select("hh", "ck", "hashes", depleted.alias("depleted"))
+
+
+def depleted_texts(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_line_docs: int = 20, line_share: float = 0.05, min_left: float = 0.5) -> DataFrame:
+    """(hh, ck) of the depleted texts among lossy_texts."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    return scratch.write(lossy_texts(docs, scratch, text_col, host_col, min_line_docs, line_share, min_left).where("depleted").select("hh", "ck"), "depleted")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_line_docs: int = 20, line_share: float = 0.05, min_left: float = 0.5) -> DataFrame:
@@ -159,6 +169,27 @@ def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source",
     return good.where(~F.col("_m.base_failed") & (F.col("_at") >= 0)).drop("_t").join(sunk, ["hh", "ck"], "left_anti").select("_row.*")
 
 
+def keep_good_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars", min_line_docs: int = 20, line_share: float = 0.05, min_left: float = 0.5) -> DataFrame:
+    """The rows of keep_good, their texts without the lines above the limits; chars_col, if there is one, follows. Other columns stay.
+
+    The rows are judged by their whole texts, as by quality_rules.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    lossy = scratch.write(lossy_texts(docs, scratch, text_col, host_col, min_line_docs, line_share, min_left), "lossy")
+    text, host = F.col(f"_row.`{text_col}`").cast("string"), F.col(f"_row.`{host_col}`").cast("string")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    good = with_measures(docs.select(whole, F.col(text_col).alias("_t"), host_key(F.col(host_col).cast("string")).alias("hh"), content_key(F.col(text_col)).alias("ck")), "_t")
+    good = good.where(~F.col("_m.base_failed") & (F.col("_at") >= 0)).drop("_t").join(lossy, ["hh", "ck"], "left")
+    good = good.where(~F.coalesce(F.col("depleted"), F.lit(False)))
+    left = F.filter(F.split(text, "\n", -1), lambda x: ~(x.rlike(WORD_CHAR) & F.array_contains("hashes", line_hash(x, host))))
+    good = good.withColumn("_left", F.when(F.col("hashes").isNotNull(), F.array_join(left, "\n")))
+    new = {text_col: F.col("_left")}
+    if chars_col in docs.columns:
+        new[chars_col] = F.length("_left").cast(docs.schema[chars_col].dataType)
+    old = lambda c: F.col(f"_row.`{c}`")
+    return good.select(*[F.when(F.col("_left").isNotNull(), new[c]).otherwise(old(c)).alias(c) if c in new else old(c).alias(c) for c in docs.columns])
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: quality_rules over all documents."""
     return quality_rules(table(spark, sf_dir, "documents")).drop("depleted")

@@ -54,3 +54,23 @@ def test_equals_plain_python(spark):
     kept = [r for r, w in zip([(*r, True, 7) for r in rows], want, strict=True) if w[8]]
     assert sorted(map(tuple, keep_good(df, **LIMITS).collect()), key=str) == sorted(kept, key=str)
     assert quality_rules(df.limit(0)).count() == 0 and keep_good(df.limit(0)).count() == 0
+
+
+def test_lines_above_the_limits_go(spark):
+    import corpus_pipeline
+    from factloom.llm.quality import keep_good_lines
+
+    rows = made()
+    df = spark.createDataFrame([(*r, len(r[1] or ""), 7) for r in rows], "doc_id long, text string, source string, n_chars long, hh int")
+    texts = {(s, t or "") for _, t, s in rows}
+    holds = lambda s, x: sum(normal(x) in map(normal, t.split("\n")) for h, t in texts if h == s)
+    above = lambda s, x: words(x) and holds(s, x) >= max(3, 0.2 * sum(h == s for h, _ in texts))
+    want = []
+    for (doc_id, t, s), w in zip(rows, brute(rows), strict=True):
+        if w[8]:
+            left = "\n".join(x for x in t.split("\n") if not above(s, x))
+            want.append((doc_id, left, s, len(left), 7))
+    assert sorted(map(tuple, keep_good_lines(df, **LIMITS).collect()), key=str) == sorted(want, key=str)
+    menu = [(k, "Home of all pages and much more\n" + " ".join(f"{chr(97 + k)}w{chr(97 + i)}" for i in range(25)), "a", 0) for k in range(26)]
+    out = corpus_pipeline.quality_stage(spark, spark.createDataFrame(menu, "doc_id long, text string, source string, n_chars long"), "").collect()
+    assert len(out) == 26 and all("Home" not in r.text and r.n_chars == len(r.text) for r in out)
