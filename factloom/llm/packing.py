@@ -8,21 +8,27 @@ passes in a table in the shared folder, so a lost executor costs the tasks it ra
 
 from __future__ import annotations
 
-import struct
 import sys
 import types
 from collections.abc import Iterator
+from itertools import chain, repeat
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import Scratch, table
 
 #: Words that a Python worker remembers with their ids; beyond it words are encoded anew each time.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
+#: Characters of texts that are worked on together; one longer text is worked on by itself.
+TOGETHER = 4 << 20
 TOKENS = "pid int, at long, doc_id long, doc_tokens long, starts long, ids binary"
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+#: White space other than single blanks and line ends between words: such texts are encoded whole.
+UNEVEN = r"^$|^[ \n]|[ \n]$|[ \n][ \n]|[\t\x{0b}\x{0c}\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def worker_state(key: str, make):
@@ -33,12 +39,20 @@ def worker_state(key: str, make):
     return state.__dict__[key]
 
 
+def byte_rows(data: np.ndarray, ends: np.ndarray) -> pa.BinaryArray:
+    """Rows of unsigned 32-bit values, each up to its end, over one buffer."""
+    offsets = np.concatenate([[0], ends]).astype(np.int64) * 4
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data, "<u4"))]).cast(pa.binary())
+
+
 class TextEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, by a tokenizer of the `tokenizers` library.
+    """Ids of texts by a tokenizer of the `tokenizers` library, as it gives them for whole texts without special tokens added.
 
     A byte-level tokenizer with the usual word pattern never joins a word to what stands before the space or line end in
-    front of it. For such a tokenizer texts whose words stand one space or line end apart are put together from their words'
-    ids, which are remembered; all other texts, and other tokenizers, are encoded whole.
+    front of it. For such a tokenizer, texts whose words stand one space or line end apart are put together from the ids of
+    their distinct words, which are remembered: a batch is split and its words numbered by Arrow, only words that are new are
+    encoded, and the ids are gathered by offset. All other texts, those that hold a token added to the vocabulary, and
+    other tokenizers are encoded whole.
     """
 
     def __init__(self, spec: str, remembered: int = REMEMBERED):
@@ -47,50 +61,106 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         parts = json.loads(spec)
         before = parts.get("pre_tokenizer") or {}
+        self.added = [x["content"] for x in parts.get("added_tokens") or []]
         self.by_word = not parts.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True)
-        self.remembered, self.known = remembered, {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(e)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return self.whole(texts)
-        out: list[bytes | None] = [None] * len(texts)
-        # A line end opens the word after it; a word that is empty or a line end alone shows white space in a row.
-        split = [text.replace("\n", " \n").split(" ") for text in texts]
-        plain = [k for k, words in enumerate(split) if "" not in words and "\n" not in words]
-        heads = [split[k][0] for k in plain]
-        need: set[str] = set()
-        for k in plain:
-            split[k][0] = ""
-            need.update(split[k])
-        new = list(need.difference(self.known))
-        ids = self.whole([w if w[:1] == "\n" or not w else " " + w for w in new] + heads)
-        fresh = dict(zip(new, ids, strict=False))
-        if len(self.known) < self.remembered:
-            self.known.update(fresh)
-            fresh = self.known
-        else:
-            fresh.update((w, self.known[w]) for w in need if w in self.known)
-        get = fresh.__getitem__
-        for k, head in zip(plain, ids[len(new) :], strict=True):
-            out[k] = head + b"".join(map(get, split[k]))
-        rest = [k for k, x in enumerate(out) if x is None]
-        for k, x in zip(rest, self.whole([texts[k] for k in rest]), strict=True):
-            out[k] = x
-        return out
+        # Every text is read as if a line end stood before it, so that its first word is like any line's; that id goes again.
+        self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.by_word = self.by_word and len(self.line_end) == 1 and self.tokenizer.encode("\na", add_special_tokens=False).ids[:1] == self.line_end
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.blank = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids whose bytes begin with a blank
+        self.blank[[x for token, x in vocabulary.items() if token[:1] == "\u0120"]] = True
+        # Slot 0 is the empty word, which has no ids.
+        self.most, self.known, self.slots, self.used = remembered, {"": 0}, 1, 0
+        self.begins, self.counts, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> tuple[np.ndarray, int]:
+        """Ids of the words one after the other and how many there are of each: a blank stands before a word, unless a line
+        end opens it. Words are encoded many together: each begins with the one id that is a blank's or the line end."""
+        together = ["".join(words[k : k + 256]) for k in range(0, len(words), 256)]
+        ids = np.fromiter(chain.from_iterable(self.whole(together)), np.uint32)
+        first = np.flatnonzero(ids == self.line_end[0] if words[0][0] == "\n" else self.blank[ids])
+        return ids, np.diff(np.append(first, len(ids)))
+
+    def slots_of(self, words: list[str]) -> np.ndarray:
+        """Slot of each of the distinct words; those not remembered have theirs until the next call."""
+        slot = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(slot < 0)
+        if not len(new):
+            return slot
+        line = np.fromiter((words[k][0] == "\n" for k in new), bool, len(new))
+        at = np.concatenate([new[line], new[~line]])
+        parts = [self.learn(x) for x in ([words[k] for k in new[line]], [" " + words[k] for k in new[~line]]) if x]
+        ids, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        ends, slots = self.used + np.cumsum(counts), self.slots + len(at)
+        if ends[-1] > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(int(ends[-1]), np.uint32)])
+        if slots > len(self.counts):
+            self.begins, self.counts = (np.concatenate([x, np.zeros(slots, np.int64)]) for x in (self.begins, self.counts))
+        self.pool[self.used : ends[-1]] = ids
+        self.begins[self.slots : slots], self.counts[self.slots : slots] = ends - counts, counts
+        slot[at] = np.arange(self.slots, slots)
+        if len(self.known) < self.most:
+            self.known.update(zip([words[k] for k in at], range(self.slots, slots), strict=True))
+            self.slots, self.used = slots, int(ends[-1])
+        return slot
+
+    def plain(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of evenly spaced texts one after the other, end_id after each, and where each ends."""
+        pieces = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("", texts, "\n"), "\n", " \n"), " ")
+        sizes = pieces.value_lengths().to_numpy().astype(np.int64)
+        numbered = pieces.flatten().dictionary_encode()
+        slot, at = self.slots_of(numbered.dictionary.to_pylist()), numbered.indices.to_numpy()
+        begins, counts = self.begins[slot][at], self.counts[slot][at]
+        ends = np.cumsum(counts)
+        total = int(ends[-1])
+        ids = self.pool[np.repeat(begins - (ends - counts), counts) + np.arange(total)]
+        text_ends = ends[np.cumsum(sizes) - 1]
+        out = np.empty(total, np.uint32)
+        out[:-1] = ids[1:]
+        out[text_ends - 1] = end_id  # in the place of the line end that stood before the next text
+        return out, text_ends
+
+    def encode(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts (no nulls) one after the other, end_id after each, and where each ends."""
+        even = np.zeros(len(texts), bool)
+        if self.by_word:
+            odd = pc.match_substring_regex(texts, UNEVEN)
+            for content in self.added:
+                odd = pc.or_(odd, pc.match_substring(texts, content))
+            even = ~odd.to_numpy(zero_copy_only=False)
+        if even.all() and len(even):
+            return self.plain(texts, end_id)
+        rows: list[np.ndarray | None] = [None] * len(texts)
+        if even.any():
+            out, ends = self.plain(texts.filter(pa.array(even)), end_id)
+            for k, ids in zip(np.flatnonzero(even).tolist(), np.split(out, ends[:-1]), strict=True):
+                rows[k] = ids
+        rest = np.flatnonzero(~even).tolist()
+        for k, ids in zip(rest, self.whole(texts.filter(pa.array(~even)).to_pylist()), strict=True):
+            rows[k] = np.array([*ids, end_id], np.uint32)
+        return np.concatenate([np.zeros(0, np.uint32), *rows]), np.cumsum([len(x) for x in rows], dtype=np.int64)
+
+
+def in_portions(batch: pa.RecordBatch, column: int, most: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, some together as long as their texts have no more than `most` bytes."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at : at + 4096], dtype=np.int64), most, side="right")))
+        yield batch.slice(at, end - at)
+        at = min(end, batch.num_rows)
 
 
 def token_rows(docs: DataFrame, tokenizer_json: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
     """Pass one: ids of each row with end_id after them, and where they start among the partition's."""
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
-    end = int(end_id).to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -98,20 +168,15 @@ def token_rows(docs: DataFrame, tokenizer_json: str, id_col: str, text_col: str,
         encoder = worker_state("encoder" + str(hash(spec.value)), lambda: TextEncoder(spec.value))
         pid, at, starts = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                ids = [x + end for x in encoder.encode([x or "" for x in part.column(1).to_pylist()])]
-                n = [len(x) // 4 for x in ids]
-                begin = []
-                for x in n:
-                    begin.append(starts)
-                    starts += x
-                rows = len(ids)
+            for part in in_portions(batch, 1):
+                rows = part.num_rows
+                ids, ends = encoder.encode(pc.fill_null(part.column(1), ""), end_id)
+                begins = np.concatenate([[0], ends[:-1]])
                 yield pa.record_batch(
-                    [pa.array([pid] * rows, pa.int32()), pa.array(range(at, at + rows), pa.int64()), part.column(0), pa.array(n, pa.int64()), pa.array(begin, pa.int64()), pa.array(ids, pa.binary())],
+                    [pa.array(np.full(rows, pid, np.int32)), pa.array(np.arange(at, at + rows)), part.column(0), pa.array(ends - begins), pa.array(starts + begins), byte_rows(ids, ends)],
                     names=["pid", "at", "doc_id", "doc_tokens", "starts", "ids"],
                 )
-                at += rows
+                at, starts = at + rows, starts + int(ends[-1])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, TOKENS)
 
@@ -121,17 +186,17 @@ def cut(rows: DataFrame, length: int) -> DataFrame:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, n, begins, ids in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "doc_tokens", "begins", "ids")], strict=True):
-                at = 0
-                while at < n:
-                    offset = (begins + at) % length
-                    take = min(length - offset, n - at)
-                    out.append((doc_id, at, take, n, (begins + at) // length, offset, ids[4 * at : 4 * (at + take)]))
-                    at += take
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            types_ = [pa.int64()] * 6 + [pa.binary()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types_, strict=True)], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            for part in in_portions(batch, 3):
+                n, begins = (part.column(c).to_numpy() for c in ("doc_tokens", "begins"))
+                count = (begins + n - 1) // length - begins // length + 1
+                row = np.repeat(np.arange(part.num_rows), count)
+                k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                sequence = begins[row] // length + k
+                start = np.maximum(0, sequence * length - begins[row])
+                size = np.minimum(n[row], (sequence + 1) * length - begins[row]) - start
+                ids = np.frombuffer(b"".join(part.column("ids").to_pylist()), "<u4")
+                columns = [part.column("doc_id").take(pa.array(row)), start, size, n[row], sequence, (begins[row] + start) % length]
+                yield pa.record_batch([*[pa.array(c, pa.int64()) if isinstance(c, np.ndarray) else c for c in columns], byte_rows(ids, np.cumsum(size))], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     return rows.select("doc_id", "doc_tokens", "begins", "ids").mapInArrow(pieces, PIECES)
 
@@ -141,7 +206,8 @@ def pack(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col:
 
     Sequences are filled one after the other in the order of the rows, so only the last one needs padding. Null or empty
     text: end_id alone. Null or repeated doc_id: each row is a document of its own. Empty table: no piece. Further columns
-    are not read. Only the tokenizer's own file and one total for each partition go to the driver or to all executors.
+    are not read. A text that holds a token of the vocabulary that was added to it gets that token's id, as from a plain
+    call of the tokenizer. Only the tokenizer's own file and one total for each partition go to the driver or to all executors.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     rows = scratch.write(token_rows(docs, tokenizer_json, id_col, text_col, end_id), "tokens")
@@ -160,6 +226,6 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: every piece of all documents with the CRC-32 of its ids, and the length that its sequence is padded to."""
+    """Contract query: every piece of all documents with the CRC-32 of its ids."""
     packed = pack(table(spark, sf_dir, "documents"), tokenizer_file())
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -1,35 +1,49 @@
 """Packing: an exact round trip against the tokenizer on whole texts."""
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from factloom.llm.packing import TextEncoder, pack, tokenizer_file
 
 TEXTS = [
     "Plain words, one space apart.\nNext line's word.", "", " lead", "trail ", "two  spaces", "blank\n\nline", "\n", " \n ", "tab\there \tand\r\nmore", "it's we'll 'tis ''s x's",
-    "<|endoftext|> is ordinary", "é à ü ñ 日本語 текст   nbsp x", "12 345 6a7 ½²", "a b  c", "\x1c x\x85y z", "emoji 😀 ok 👩‍👩‍👧", "line \nend", "line\n start", "!!! ??? ... \"q\"",
+    "<|endoftext|> is a token of its own", "é à ü ñ 日本語 текст   nbsp x", "12 345 6a7 ½²", "a b  c", "\x1c x\x85y z", "emoji 😀 ok 👩‍👩‍👧", "line \nend", "line\n start", "!!! ??? ... \"q\"",
     "x " * 3000, "word" * 2000, "a\n" * 50 + "b",
 ]
 
 
 def whole(text):
-    t = Tokenizer.from_str(tokenizer_file())
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    """The plain call: an added token's own string is that token."""
+    return Tokenizer.from_str(tokenizer_file()).encode(text or "", add_special_tokens=False).ids
+
+
+def encoded(encoder, texts, end_id=0):
+    ids, ends = encoder.encode(pa.array(texts), end_id)
+    rows = np.split(ids, ends[:-1])
+    assert all(x[-1] == end_id for x in rows)
+    return [x[:-1].tolist() for x in rows]
 
 
 def test_encoder_equals_whole_texts():
+    assert 50256 in whole(TEXTS[10])
+    want = [whole(t) for t in TEXTS]
     for remembered in (0, 5, 10_000):
         encoder = TextEncoder(tokenizer_file(), remembered)
         for _ in range(2):
-            assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(TEXTS)] == [whole(t) for t in TEXTS]
+            assert encoded(encoder, TEXTS) == want
+    assert encoded(TextEncoder(tokenizer_file()), [TEXTS[0]] * 3) == [want[0]] * 3
+
+
+def test_very_long_text():
+    text = " ".join(f"w{k % 977}x{k % 13}," for k in range(400_000))
+    assert encoded(TextEncoder(tokenizer_file()), ["a", text, "b"]) == [whole(t) for t in ("a", text, "b")]
 
 
 def test_other_tokenizers_encode_whole():
     spec = tokenizer_file("word_bpe_49k.json")
     t = Tokenizer.from_str(spec)
-    t.encode_special_tokens = True
-    assert [np.frombuffer(x, "<u4").tolist() for x in TextEncoder(spec).encode(TEXTS[:4])] == [t.encode(x, add_special_tokens=False).ids for x in TEXTS[:4]]
+    assert encoded(TextEncoder(spec), TEXTS[:4]) == [t.encode(x, add_special_tokens=False).ids for x in TEXTS[:4]]
 
 
 def test_round_trip(spark):
