@@ -1,14 +1,16 @@
 """Secret scans: fixed patterns, and novelty against a primed zstandard dictionary.
 
 A secret cannot be foretold from what stands around it. For each string in a sensitive context the scan compresses its
-surroundings with and without it, both primed with a dictionary of common identifiers; the bytes that it adds, over its length,
-are its novelty. Names, paths and words compress against the dictionary or their surroundings; keys do not.
-All work is within one text, so nothing is shuffled.
+surroundings with and without it, both primed with a dictionary of identifiers of code and of common words; the bytes that it
+adds are measured against what random strings of its own alphabet and length add in its place. Names, paths and words compress
+against the dictionary or their surroundings; keys cost as much as chance does. Before that a string must be mixed as keys are:
+dates, versions and words joined by signs are not. All work is within one text, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import bisect
+import random
 import re
 from collections.abc import Iterator
 
@@ -26,13 +28,16 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 6, 20, 24
 
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
-CANDIDATE_CHARS = 16
-#: Words that make a context sensitive.
-SENSITIVE = r"pass|pwd|secret|token|key|auth|cred|bearer|private|signature|session|cert|login"
+#: A string that may be a key: letters, digits and signs that passwords hold, between letters and digits.
+CANDIDATE = r"[A-Za-z0-9][A-Za-z0-9+/_=.!@$%^&*~#-]{10,}[A-Za-z0-9=]"
+CANDIDATE_CHARS, WORDY_CHARS = 12, 20
+#: Characters of a candidate that must stand in pieces mixed of letters and digits, or of small and capital letters.
+MIXED_CHARS = 10
+#: Words that make a context sensitive; humps of mixed case count as words.
+SENSITIVE = r"(?<![a-z])(?:pass(?:word|wd|phrase|code)?s?|pwd|secrets?|tokens?|(?:api)?keys?|auth(?:orization|entication)?|creds?|credentials?|bearer|private|signature|sessions?|cert(?:ificate)?s?|login)(?![a-z])"
 BEFORE, AFTER = 64, 32
-#: Added bytes for each character from which a string counts as incompressible.
-NOVELTY = 0.7
+#: Added bytes, over those of random strings of the same alphabet, from which a string counts as incompressible.
+NOVELTY, DRAWN = 0.85, 4
 #: Identifiers common in code and configuration: the dictionary.
 IDENTIFIERS = (
     "access_key account address api_key application argument array assert async attribute auth_token authorization await backend base64 "
@@ -53,21 +58,65 @@ IDENTIFIERS = (
 )
 
 
+def code_dictionary(vocabulary: str | None = None) -> bytes:
+    """The dictionary: words of a public tokenizer's vocabulary (path of its file; by default the dealt one), names of Python's
+    own modules, and IDENTIFIERS, which stand last, where references to them are shortest."""
+    import builtins
+    import importlib
+    import json
+    from pathlib import Path
+
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    tokens = json.loads(Path(vocabulary).read_text())["model"]["vocab"]
+    words = {w for t in tokens if re.fullmatch("[A-Za-z]{4,}", w := t.lstrip("\u0120"))}
+    modules = [builtins, *map(importlib.import_module, "os sys re json socket ssl logging threading subprocess http.client urllib.request hashlib unittest datetime email.message".split())]
+    names = {n for m in modules for n in dir(m) if not n.startswith("_") and len(n) > 3}
+    return f"{' '.join(sorted(words))} {' '.join(sorted(names))} {IDENTIFIERS}".encode()
+
+
+def mixed_chars(candidate: str) -> int:
+    """Characters in pieces (between signs) whose kind of character changes often: twice, and at every seventh place, or more.
+    Of a piece with small and capital letters, words (four small letters and more, and a capital before them) do not count."""
+    total = 0
+    for piece in re.split("[^A-Za-z0-9]+", candidate):
+        kinds = [0 if c.isdigit() else 1 if c.islower() else 2 for c in piece]
+        changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+        # Letters alone are mixed only if small and capital ones change as in a key, not as at the humps of words.
+        if changes >= max(2, 0.15 * len(piece)) and (0 in kinds or changes >= 0.35 * len(piece)):
+            total += len(re.sub("[A-Z]?[a-z]{4,}", "", piece)) if {1, 2} <= set(kinds) else len(piece)
+    return total
+
+
+def drawn_like(candidate: str, count: int = DRAWN) -> list[str]:
+    """Random strings with the signs of candidate where it has them, the rest from its own alphabet; always the same ones."""
+    letters = [c for c in candidate if c.isalpha()]
+    digits = "0123456789" if any(map(str.isdigit, candidate)) else ""
+    kinds = [k for k, some in (("abcdef", str.islower), ("ABCDEF", str.isupper)) if any(map(some, letters))]
+    if not (digits and all(c in "abcdefABCDEF" for c in letters)):
+        kinds = ["abcdefghijklmnopqrstuvwxyz" if k.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for k in kinds]
+    alphabet, chance = digits + "".join(kinds), random.Random(candidate)
+    return ["".join(chance.choice(alphabet) if c.isalnum() else c for c in candidate) for _ in range(count)]
+
+
 class Scanner:
     """Finds the spans of secrets in a text: (start, index of the kind, end), sorted; code points, end exclusive."""
 
-    def __init__(self, novelty: float = NOVELTY):
+    def __init__(self, dictionary: bytes, novelty: float = NOVELTY):
         import zstandard
 
         self.novelty = novelty
-        primed = zstandard.ZstdCompressionDict(IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.compress = zstandard.ZstdCompressor(level=9, dict_data=primed, write_checksum=False, write_content_size=False).compress
+        primed = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=12)
+        self.compress = zstandard.ZstdCompressor(level=12, dict_data=primed, write_checksum=False, write_content_size=False).compress
         self.assign, self.access, self.hex = re.compile(ASSIGN, re.I | re.A), re.compile(ACCESS), re.compile(HEX)
-        self.candidate, self.sensitive = re.compile(CANDIDATE), re.compile(SENSITIVE, re.I | re.A)
-        of = lambda chars: bytes(120 if chr(b) in chars else 32 for b in range(256))
-        self.hex_bytes = of("0123456789abcdef")
-        self.candidate_bytes = of("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
-        self.digit = re.compile("[0-9]")
+        self.candidate, self.sensitive, self.hump = re.compile(CANDIDATE), re.compile(SENSITIVE), re.compile("([a-z0-9])([A-Z])")
+        self.hex_bytes = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
+        inside = re.compile("[A-Za-z+/_=.!@$%^&*~#-]")
+        self.candidate_bytes = bytes(48 if 48 <= b < 58 else 120 if b < 128 and inside.match(chr(b)) else 32 for b in range(256))
+        self.likely = re.compile(b"(?=[x0]{%d})x*0|x{%d}" % (CANDIDATE_CHARS, WORDY_CHARS))
 
     def base(self, text: str, raw: bytes) -> list[tuple[int, int, int]]:
         """The fixed patterns. Cheap searches first: most texts hold none of what a pattern needs."""
@@ -81,15 +130,20 @@ class Scanner:
             found += [(m.start(), 2, m.end()) for m in self.hex.finditer(text) if m.end() - m.start() >= HEX_CHARS]
         return sorted(found)
 
-    def added(self, text: str, start: int, end: int) -> float:
-        """Bytes that the string adds to its compressed surroundings, over its length."""
-        before, after = text[max(0, start - BEFORE) : start].encode(), text[end : end + AFTER].encode()
-        own = text[start:end].encode()
-        return (len(self.compress(before + own + after)) - len(self.compress(before + after))) / len(own)
+    def in_context(self, text: str, start: int, end: int) -> bool:
+        return any(self.sensitive.search(self.hump.sub(r"\1 \2", part).lower()) for part in (text[max(0, start - BEFORE) : start], text[end : end + AFTER]))
+
+    def incompressible(self, text: str, start: int, end: int) -> bool:
+        """Whether the string adds as many bytes to its compressed surroundings as chance would."""
+        before, after, own = text[max(0, start - BEFORE) : start], text[end : end + AFTER], text[start:end]
+        size = lambda middle: len(self.compress((before + middle + after).encode("utf-8", "replace")))
+        bare = size("")
+        chance = [size(x) - bare for x in drawn_like(own)]
+        return (size(own) - bare) * len(chance) >= self.novelty * sum(chance)
 
     def novel(self, text: str, raw: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Incompressible strings of letters and digits in a sensitive context, clear of the base spans."""
-        if b"x" * CANDIDATE_CHARS not in raw.translate(self.candidate_bytes) or not self.digit.search(text):
+        """Mixed, incompressible strings in a sensitive context, clear of the base spans."""
+        if not self.likely.search(raw.translate(self.candidate_bytes)):
             return []
         found, ends = [], []
         for start, _, end in base:  # starts ascend; ends[i]: how far the spans up to i reach
@@ -97,12 +151,12 @@ class Scanner:
         starts = [x[0] for x in base]
         for m in self.candidate.finditer(text):
             start, end = m.span()
-            if not self.digit.search(m[0]) or not any(map(str.isalpha, m[0])):
+            if mixed_chars(m[0]) < MIXED_CHARS:
                 continue
             k = bisect.bisect_left(starts, end)
             if k and ends[k - 1] > start:
                 continue
-            if self.sensitive.search(text, max(0, start - BEFORE), start) and self.added(text, start, end) >= self.novelty:
+            if self.in_context(text, start, end) and self.incompressible(text, start, end):
                 found.append((start, 3, end))
         return found
 
@@ -112,16 +166,23 @@ class Scanner:
         return base, self.novel(text, raw, base)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", novelty: float = NOVELTY) -> DataFrame:
+def scanner_on(docs: DataFrame, dictionary: bytes | None, novelty: float):
+    """A function that gives a worker's scanner; the dictionary (some 400 kB) is broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast(code_dictionary() if dictionary is None else dictionary)
+    return lambda: worker_state(f"scanner{novelty}-{hash(shared.value)}", lambda: Scanner(shared.value, novelty))
+
+
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", novelty: float = NOVELTY, dictionary: bytes | None = None) -> DataFrame:
     """Per row of docs: doc_id, base and novel, arrays of (kind, start, end) by start, then kind.
 
     Null or empty text: no spans. Null or repeated doc_id: each row by itself. Empty table: empty result. Further columns are
     not read. Texts are scanned whole, in batches of 64.
     """
+    scanner_of = scanner_on(docs, dictionary, novelty)
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = worker_state(f"scanner{novelty}", lambda: Scanner(novelty))
+        scanner = scanner_of()
         named = lambda spans: [{"kind": KINDS[k], "start": s, "end": e} for s, k, e in spans]
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
@@ -144,14 +205,18 @@ def masked(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def mask_secrets(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", mask: str = "[SECRET]", novelty: float = NOVELTY) -> DataFrame:
-    """docs with the secrets in its texts masked; chars_col, if there is one, follows the new text. Other columns stay."""
+def mask_secrets(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", mask: str = "[SECRET]", novelty: float = NOVELTY, dictionary: bytes | None = None) -> DataFrame:
+    """docs with the secrets in its texts masked; chars_col, if there is one, follows the new text. Other columns stay.
+
+    Null and empty texts stay as they are; repeated rows and null ids are rows like others. Empty table: empty result.
+    """
+    scanner_of = scanner_on(docs, dictionary, novelty)
     names = docs.columns
     at = names.index(text_col)
     chars = names.index(chars_col) if chars_col in names else None
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = worker_state(f"scanner{novelty}", lambda: Scanner(novelty))
+        scanner = scanner_of()
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)

@@ -4,7 +4,7 @@ import re
 
 import corpus_pipeline
 from factloom.llm.mixing import mix
-from factloom.llm.secrets import Scanner
+from factloom.llm.secrets import Scanner, code_dictionary
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,7 +24,8 @@ def test_stages(spark, tmp_path):
             assert all(r == before[r.doc_id] for r in rows) and len(rows) < len(before)
         if k == 2:
             assert len(rows) == len(before)
-            assert all(not sum(Scanner().scan(r.text), []) and r.n_chars == len(r.text) for r in rows)
+            scanner = Scanner(code_dictionary())
+            assert all(not sum(scanner.scan(r.text), []) and r.n_chars == len(r.text) for r in rows)
             taken = {r.doc_id: r.taken for r in mix(docs).collect()}
         if k == 3:
             words = {}
