@@ -14,7 +14,7 @@ norm AS (SELECT source, t, l, regexp_replace(trim(regexp_replace(lower(l), '[\x2
 host AS (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source),
 above AS (SELECT source, k FROM norm GROUP BY source, k HAVING count(DISTINCT t) >= 20),
 often AS (SELECT a.source, a.k FROM above a JOIN host h ON h.source IS NOT DISTINCT FROM a.source
-    JOIN (SELECT source, k, count(DISTINCT t) AS n FROM norm GROUP BY ALL) c ON c.source IS NOT DISTINCT FROM a.source AND c.k = a.k WHERE c.n >= 0.05 * h.texts),
+    JOIN (SELECT source, k, count(DISTINCT t) AS n FROM norm GROUP BY ALL) c ON c.source IS NOT DISTINCT FROM a.source AND c.k = a.k WHERE c.n >= 0.05 * h.texts OR c.n >= 1000),
 sunk AS (SELECT n.source, n.t FROM norm n LEFT JOIN often o ON o.source IS NOT DISTINCT FROM n.source AND o.k = n.k
     GROUP BY n.source, n.t HAVING sum(length(l)) - coalesce(sum(length(l)) FILTER (WHERE o.k IS NOT NULL), 0) < 0.5 * sum(length(l))),
 m AS (SELECT d.*, len(w)::BIGINT AS n_words, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, coalesce(dup.n, 0)::BIGINT AS n_dup_lines FROM d LEFT JOIN cov USING (r) LEFT JOIN dup USING (r))

@@ -6,6 +6,8 @@ its own row, so nothing but 8-byte line hashes is shuffled.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,7 +101,7 @@ def line_hash(line: Column, host: Column) -> Column:
 
 
 def line_table(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
-    """One row for each distinct text of a host: hh, ck, lines (array of hash h and characters w)."""
+    """One row for each distinct text of a host: hh, ck, copies (rows that hold it), lines (array of hash h and characters w)."""
     text, host = F.coalesce(F.col(text_col), F.lit("")), F.col(host_col).cast("string")
 
     def entries(lines: Column) -> Column:
@@ -113,45 +115,55 @@ def line_table(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
 
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD_CHAR))
     rows = docs.select(host_key(host).alias("hh"), content_key(text).alias("ck"), let(lines, entries).alias("lines"))
-    # Copies of a text are one document here: a text must not sink because it was copied.
-    return rows.groupBy("hh", "ck").agg(F.min("lines").alias("lines"))
+    return rows.groupBy("hh", "ck").agg(F.count(F.lit(1)).alias("copies"), F.min("lines").alias("lines"))
 
 
-def lossy_texts(docs: DataFrame, scratch: Scratch, text_col: str, host_col: str, min_line_docs: int, line_share: float, min_left: float) -> DataFrame:
-    """Of each text with lines above the limits: hh, ck, hashes (of those lines), depleted.
+@dataclass(frozen=True)
+class Limits:
+    """When a line is above the limits, and a text depleted.
+
+    Above: at least min_line_docs documents of its host hold it, and either line_share of all of the host's, or many_line_docs,
+    so that a hot host is held to a count and not to a share of itself. Documents are counted as distinct texts, since a text
+    must not sink because it was copied; with distinct_texts false every row counts. Depleted: a text whose other lines hold
+    less than min_left of the characters in its lines with words.
+    """
+
+    min_line_docs: int = 20
+    line_share: float = 0.05
+    many_line_docs: int = 1000
+    min_left: float = 0.5
+    distinct_texts: bool = True
 
-    Depleted is a text that loses more than 1 - min_left of the characters in lines with them.
 
-    A line is above the limits if at least min_line_docs distinct texts of the host, and at least line_share of all of the
-    host's, hold it. Line counts are summed before the shuffle, so a line on a third of all documents is one row a task.
+def lossy_texts(docs: DataFrame, scratch: Scratch, text_col: str, host_col: str, limits: Limits) -> DataFrame:
+    """Of each text with lines above the limits: hh, ck, hashes (of those lines), depleted.
+
+    Line counts are summed before the shuffle, so a line on a third of all documents is one row a task.
     """
     texts = scratch.write(line_table(docs, text_col, host_col), "texts")
-    once = texts.select("hh", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    counts = once.groupBy("h", "hh").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_line_docs)
-    hosts = texts.groupBy("hh").agg(F.count(F.lit(1)).alias("texts"))
-    above = counts.join(hosts, "hh").where(F.col("n") >= F.col("texts") * F.lit(line_share)).select("h")
+    weight = F.lit(1) if limits.distinct_texts else F.col("copies")
+    once = texts.select("hh", weight.alias("weight"), F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    counts = once.groupBy("h", "hh").agg(F.sum("weight").alias("n")).where(F.col("n") >= limits.min_line_docs)
+    hosts = texts.groupBy("hh").agg(F.sum(weight).alias("texts"))
+    often = (F.col("n") >= F.col("texts") * F.lit(limits.line_share)) | (F.col("n") >= limits.many_line_docs)
+    above = counts.join(hosts, "hh").where(often).select("h")
     above = scratch.write(above, "above")  # a table of known size: Spark broadcasts it if it is small, else it shuffles
     lines = texts.select("hh", "ck", F.posexplode("lines").alias("i", "line")).select("hh", "ck", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
     lost = lines.join(above, "h").groupBy("hh", "ck").agg(F.sum("w").alias("lost"), F.collect_set("h").alias("hashes"))
     total = F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + x["w"])
     lossy = lost.join(texts.select("hh", "ck", total.alias("total")), ["hh", "ck"])
-    depleted = F.col("total") - F.col("lost") < F.col("total") * F.lit(min_left)
+    depleted = F.col("total") - F.col("lost") < F.col("total") * F.lit(limits.min_left)
     return lossy.select("hh", "ck", "hashes", depleted.alias("depleted"))
 
 
-def depleted_texts(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_line_docs: int = 20, line_share: float = 0.05, min_left: float = 0.5) -> DataFrame:
-    """(hh, ck) of the depleted texts among lossy_texts."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    return scratch.write(lossy_texts(docs, scratch, text_col, host_col, min_line_docs, line_share, min_left).where("depleted").select("hh", "ck"), "depleted")
-
-
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_line_docs: int = 20, line_share: float = 0.05, min_left: float = 0.5) -> DataFrame:
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: Limits = Limits()) -> DataFrame:
     """Per row of docs: doc_id, the base measures, depleted and kept.
 
     Null or empty text: no words, base_failed, not kept. Null host: a host of its own. Null or repeated doc_id: each row is
     judged by itself. Equal texts of a host are equally judged. Empty table: empty result. Further columns are not read.
     """
-    sunk = depleted_texts(docs, text_col, host_col, min_line_docs, line_share, min_left).withColumn("depleted", F.lit(True))
+    scratch = Scratch(docs.sparkSession, "quality")
+    sunk = scratch.write(lossy_texts(docs, scratch, text_col, host_col, limits).where("depleted").select("hh", "ck"), "depleted").withColumn("depleted", F.lit(True))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), host_key(F.col(host_col).cast("string")).alias("hh"), content_key(F.col(text_col)).alias("ck"))
     rows = with_measures(rows, "text").select("doc_id", "_m.*", "hh", "ck")
     depleted = F.coalesce(F.col("depleted"), F.lit(False))
@@ -160,25 +172,19 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", min_line_docs: int = 20, line_share: float = 0.05, min_left: float = 0.5) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with all their columns. Base failures go in the scan; a text is shuffled only if very many are depleted."""
-    sunk = depleted_texts(docs, text_col, host_col, min_line_docs, line_share, min_left)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    good = with_measures(docs.select(whole, F.col(text_col).alias("_t"), host_key(F.col(host_col).cast("string")).alias("hh"), content_key(F.col(text_col)).alias("ck")), "_t")
-    # The row number is named in the filter so that it stays: it keeps the filter above the measures.
-    return good.where(~F.col("_m.base_failed") & (F.col("_at") >= 0)).drop("_t").join(sunk, ["hh", "ck"], "left_anti").select("_row.*")
-
-
-def keep_good_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars", min_line_docs: int = 20, line_share: float = 0.05, min_left: float = 0.5) -> DataFrame:
-    """The rows of keep_good, their texts without the lines above the limits; chars_col, if there is one, follows. Other columns stay.
+def keep_good_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", chars_col: str | None = "n_chars", limits: Limits = Limits()) -> DataFrame:
+    """The rows of docs that quality_rules keeps, their texts without the lines above the limits; chars_col, if there is one,
+    follows. Other columns stay, whatever their names.
 
-    The rows are judged by their whole texts, as by quality_rules.
+    Rows are judged by their whole texts, as by quality_rules, so null and empty texts go; a null host is a host of its own;
+    repeated rows are judged alike and all stay; lines without words stay. Empty table: empty result. Base failures go in the scan.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    lossy = scratch.write(lossy_texts(docs, scratch, text_col, host_col, min_line_docs, line_share, min_left), "lossy")
+    lossy = scratch.write(lossy_texts(docs, scratch, text_col, host_col, limits), "lossy")
     text, host = F.col(f"_row.`{text_col}`").cast("string"), F.col(f"_row.`{host_col}`").cast("string")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     good = with_measures(docs.select(whole, F.col(text_col).alias("_t"), host_key(F.col(host_col).cast("string")).alias("hh"), content_key(F.col(text_col)).alias("ck")), "_t")
+    # The row number is named in the filter so that it stays: it keeps the filter above the measures.
     good = good.where(~F.col("_m.base_failed") & (F.col("_at") >= 0)).drop("_t").join(lossy, ["hh", "ck"], "left")
     good = good.where(~F.coalesce(F.col("depleted"), F.lit(False)))
     left = F.filter(F.split(text, "\n", -1), lambda x: ~(x.rlike(WORD_CHAR) & F.array_contains("hashes", line_hash(x, host))))
