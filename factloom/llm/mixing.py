@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from factloom.llm.common import Scratch, table, words_of
 
@@ -69,7 +70,7 @@ def with_targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 
 def queued(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """rows with before: the sizes of the same source's rows that stand earlier in the order of (h1, h2)."""
+    """rows with before: the sizes of the same source's rows that stand earlier in the order of (h1, h2, row)."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -85,7 +86,8 @@ def queued(rows: DataFrame, scratch: Scratch) -> DataFrame:
             columns = [*batch.columns, pa.array([pid] * batch.num_rows, pa.int32()), pa.array(before, pa.int64())]
             yield pa.record_batch(columns, names=[*batch.schema.names, "pid", "inside"])
 
-    ordered = rows.repartitionByRange("rank", "h1", "h2").sortWithinPartitions("rank", "h1", "h2")
+    order = ["rank", "h1", "h2", "row"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     kinds = ", ".join(f"{n} {t}" for n, t in ordered.dtypes)
     ordered = scratch.write(ordered.mapInArrow(sums, f"{kinds}, pid int, inside bigint"), "queue")
     parts = ordered.groupBy("rank", "pid").agg(F.sum("size").alias("n"))  # at most sources + partitions rows
@@ -104,11 +106,11 @@ def due(spent: Column, slope: Column) -> Column:
 
 
 def mixing_plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, slopes: tuple[float, ...] = SLOPES, seed: int = 7) -> DataFrame:
-    """rows (doc_id, source, size, key; no text) with source_size, target, taken, passes, rest and position.
+    """rows (doc_id, source, size, key, row; no text) with source_size, target, taken, passes, rest and position.
 
     A source's queue is read round and round until its target is spent: every row is taken `passes` times whole, and `rest`
     more words of it fall in the last, broken round. Position is that of the row's first word; null if nothing is taken.
-    key tells rows of one doc_id apart; rows equal in all are interchangeable, so reruns agree.
+    key, and after it row, tell rows of one doc_id apart; rows equal in all are interchangeable, so reruns agree.
     """
     scratch = Scratch(rows.sparkSession, "mixing")
     rows = scratch.write(rows, "sizes")
@@ -127,13 +129,21 @@ def mixing_plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: fl
     return rows.withColumn("taken", taken).withColumn("position", position).drop("left", "h2")
 
 
-def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(text).alias("size"), F.xxhash64(text, text.isNull()).alias("key"))
+def whole_key(docs: DataFrame, seed: int) -> Column:
+    """Hash of all columns of a row."""
+    parts = [F.lit(seed)]
+    for f in docs.schema:
+        own = F.col(f"`{f.name}`")
+        plain = not isinstance(f.dataType, (ArrayType, MapType, StructType))
+        parts += [own if plain else F.to_json(F.struct(own)), own.isNull()]
+    return F.xxhash64(*parts)
 
 
-def plan_of(docs: DataFrame, id_col: str, text_col: str, source_col: str, **settings) -> DataFrame:
-    return mixing_plan(sizes(docs, id_col, text_col, source_col), **settings)
+def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str, row: Column | None = None) -> DataFrame:
+    """What the plan needs of each row: doc_id, source, size, key (of its text), row (0, or what tells rows apart further)."""
+    text = F.col(text_col).cast("string")
+    row = F.lit(0).cast("bigint") if row is None else row
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_of(text).alias("size"), F.xxhash64(text, text.isNull()).alias("key"), row.alias("row"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
@@ -142,40 +152,72 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null text: size 0, takes nothing. Null source: a source like others, last in order. Null or repeated doc_id, repeated
     rows: each row queues by itself. Source without words: target 0. Empty table: empty result. Further columns are not read.
     """
-    return plan_of(docs, id_col, text_col, source_col, **settings).repartitionByRange("position", "h1").sortWithinPartitions("position", "h1")
+    plan = mixing_plan(sizes(docs, id_col, text_col, source_col), **settings).drop("row")
+    return plan.repartitionByRange("position", "h1").sortWithinPartitions("position", "h1")
 
 
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = None, slopes: tuple[float, ...] = SLOPES, **settings) -> DataFrame:
-    """The mix itself: rows of docs, with all their columns, as often as it takes them, range-sorted by position.
+#: Words of a partition of the mix, where the session allows so many partitions.
+PART_WORDS = 4_000_000
 
-    The one row of a source where the last round breaks off is cut after its `rest` words, which then stand one space apart; chars_col, if named and
-    there, gets the length of the cut text.
-    Equal rows take turns, so one text serves all rows of the plan that are equal.
-    """
-    columns = docs.columns
-    text, doc_id, source = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long"), F.col(f"`{source_col}`").cast("string")
-    keys = lambda i, s, k: (F.xxhash64(F.lit(1), i, i.isNull(), s, s.isNull(), k), F.xxhash64(F.lit(2), k, i, i.isNull(), s, s.isNull()))
-    plan = plan_of(docs, id_col, text_col, source_col, slopes=slopes, **settings).where(F.col("taken") > 0)
-    k1, k2 = keys(F.col("doc_id"), F.col("source"), F.col("key"))
-    plan = plan.select(k1.alias("_k1"), k2.alias("_k2"), F.struct("passes", "rest", "before", "source_size", "target", "rank").alias("_t"))
-    k1, k2 = keys(doc_id, source, F.xxhash64(text, text.isNull()))
-    once = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), k1.alias("_k1"), k2.alias("_k2")).dropDuplicates(["_k1", "_k2"])
-    rows = once.join(plan, ["_k1", "_k2"]).drop("_k1", "_k2")
+
+def in_rounds(rows: DataFrame, slopes: tuple[float, ...]) -> DataFrame:
+    """rows of the plan once for each round that takes some of them: _last (the broken round) and _position."""
     rounds = F.transform(
         F.sequence(F.lit(0).cast("bigint"), F.col("_t.passes")),
         lambda k: F.struct((F.col("_t.before") + k * F.col("_t.source_size")).alias("spent"), (k == F.col("_t.passes")).alias("last")),
     )
-    rows = rows.select("_row", "_t", F.explode(rounds).alias("_round")).where(~F.col("_round.last") | (F.col("_t.rest") > 0))
+    rows = rows.withColumn("_round", F.explode(rounds)).where(~F.col("_round.last") | (F.col("_t.rest") > 0))
     at = due(F.least(F.lit(1.0), F.col("_round.spent") / F.greatest("_t.target", F.lit(1.0))), cycle(slopes, F.col("_t.rank")))
+    return rows.withColumn("_position", at).withColumn("_last", F.col("_round.last")).drop("_round")
+
+
+def partition_at(plan: DataFrame, slopes: tuple[float, ...]) -> tuple[int, Column]:
+    """Number of partitions, and the one of _position: cuts of training with about as many words each, found on the plan alone.
+
+    Words are summed by bins of training, sixteen for each partition that the session allows; that many numbers come to the driver.
+    """
+    most = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bins = 16 * most
+    bin_of = F.least(F.floor(F.col("_position") * bins), F.lit(bins - 1)).cast("int")
+    words = F.when(F.col("_last"), F.col("_t.rest")).otherwise(F.col("_size"))
+    sums = {r["bin"]: r["n"] for r in in_rounds(plan, slopes).groupBy(bin_of.alias("bin")).agg(F.sum(words).alias("n")).collect()}
+    total = sum(sums.values())
+    parts = max(1, min(most, -(-total // PART_WORDS)))
+    part, done = [], 0
+    for k in range(bins):
+        part.append(min(parts - 1, done * parts // max(1, total)))
+        done += sums.get(k, 0)
+    return parts, F.element_at(F.array(*map(F.lit, part)) if bins <= 1024 else F.from_json(F.lit(str(part)), "array<int>"), bin_of + 1)
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = None, slopes: tuple[float, ...] = SLOPES, **settings) -> DataFrame:
+    """The mix itself: rows of docs, with all their columns, as often as it takes them, in the order of position.
+
+    The one row of a source where the last round breaks off is cut after its `rest` words, which then stand one space apart;
+    chars_col, if named and there, gets the length of the cut text. Rows are told apart by all their columns; rows equal in
+    all take turns, so one serves all rows of the plan that are equal. Null text: size 0, taken never, as are texts without
+    words. Null source: a source like others. Null or repeated doc_id: each row by itself. Empty table: empty result.
+
+    Which partition a row goes to is found on the plan, which holds no text, so texts are joined and moved once.
+    """
+    columns = docs.columns
+    scratch = Scratch(docs.sparkSession, "mixed")
+    key = [whole_key(docs, 1).alias("_k1"), whole_key(docs, 2).alias("_k2")]
+    plan = mixing_plan(sizes(docs, id_col, text_col, source_col, F.struct(*key)), slopes=slopes, **settings).where(F.col("taken") > 0)
+    plan = plan.select("row.*", F.col("size").alias("_size"), F.struct("passes", "rest", "before", "source_size", "target", "rank").alias("_t"))
+    plan = scratch.write(plan, "plan")
+    parts, part = partition_at(plan, slopes)
+    once = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), *key).dropDuplicates(["_k1", "_k2"])
+    rows = in_rounds(once.join(plan, ["_k1", "_k2"]), slopes).withColumn("_part", part)
     own = F.col("_row").getField(text_col)
     pieces = words_of(own)
+    cut = F.col("_last") & (F.col("_t.rest") < F.size(pieces))
     shortened = F.array_join(F.slice(pieces, F.lit(1), F.col("_t.rest").cast("int")), " ")
-    kept = F.when(~F.col("_round.last"), own).when(F.col("_t.rest") >= F.size(pieces), own).otherwise(shortened)
-    cut = F.col("_round.last") & (F.col("_t.rest") < F.size(pieces))
+    kept = F.when(cut, shortened).otherwise(own)
     chars = F.when(cut, F.length(kept)).otherwise(F.col("_row").getField(chars_col)).cast(docs.schema[chars_col].dataType) if chars_col in columns else None
     field = lambda c: kept if c == text_col else chars if c == chars_col else F.col("_row").getField(c)
-    rows = rows.select(F.struct(*[field(c).alias(c) for c in columns]).alias("_row"), at.alias("_position"), F.col("_t.rank").alias("_rank"))
-    return rows.repartitionByRange("_position", "_rank").sortWithinPartitions("_position", "_rank").select("_row.*")
+    rows = rows.select(F.struct(*[field(c).alias(c) for c in columns]).alias("_row"), "_part", "_position", F.col("_t.rank").alias("_rank"))
+    return rows.repartitionById(parts, F.col("_part")).sortWithinPartitions("_position", "_rank").select("_row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
