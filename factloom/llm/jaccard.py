@@ -59,12 +59,20 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """Hash of every n consecutive elements."""
-    count = len(words) - n + 1
-    total = np.zeros(max(count, 0), np.uint64)
-    for k in range(n):
-        total = mix64(total * np.uint64(MULTIPLIERS[0]) + words[k : k + max(count, 0)])
-    return total
+    """Hash of every n consecutive elements, by doubling: a window is told by two that overlap or meet."""
+    out, have = mix64(words * np.uint64(MULTIPLIERS[0])), 1
+    if len(words) < n:
+        return np.zeros(0, np.uint64)
+    while have < n:
+        step = min(have, n - have)
+        out = mix64(out[: len(out) - step] * np.uint64(MULTIPLIERS[0]) + out[step:])
+        have += step
+    return out
+
+
+def other_words(words: np.ndarray) -> np.ndarray:
+    """Word hashes from which a second hash of windows follows, independent of the first."""
+    return mix64(words ^ np.uint64(MULTIPLIERS[2]))
 
 
 def shingles(words: np.ndarray, n: int = SHINGLE) -> np.ndarray:
@@ -85,10 +93,23 @@ def samples(tokens: np.ndarray, count: int) -> np.ndarray:
 
 
 def set_key(tokens: np.ndarray) -> int:
-    """64-bit key of a set; among 10^9 different sets two share a key with probability 0.03."""
+    """64-bit key of a set."""
     return int(mix64(np.array([mix64(tokens).sum(dtype=np.uint64) ^ np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
 
 
+def second_key(tokens: np.ndarray) -> int:
+    """Another one, by which sets that share the first are told apart."""
+    return int(mix64(np.array([mix64(other_words(tokens)).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0])
+
+
+def told_apart(rows: DataFrame, clashes: DataFrame | None) -> DataFrame:
+    """rows with sid and sid2: where different sets share a sid, as clashes lists, both make a new one."""
+    if clashes is None:
+        return rows.drop("sid2")
+    rows = rows.join(clashes.withColumn("_clash", F.lit(True)), "sid", "left")
+    return rows.withColumn("sid", F.when(F.col("_clash"), F.xxhash64("sid", "sid2")).otherwise(F.col("sid"))).drop("_clash", "sid2")
+
+
 def hashed_words(text: str):
     return F.transform(words_of(F.col(text)), lambda w: F.xxhash64(w))
 
@@ -136,21 +157,22 @@ def per_group(df: DataFrame, key: str, work: Callable[[pa.Table], list[tuple]],
 
 
 def signed_sets(docs: DataFrame, id_col: str, text_col: str, count: int) -> DataFrame:
-    """Per row of docs: doc_id, tk (hash of the text), sid (key of its set; null without words), n (tokens), sig (samples)."""
+    """Per row of docs: doc_id, tk (hash of the text), sid and sid2 (keys of its set; null without words), n (tokens), sig (samples)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sid, n, sig = [], [], []
+            sid, sid2, n, sig = [], [], [], []
             for words in each_row(batch, "wh"):
                 tokens = shingles(words)
                 n.append(len(tokens))
                 sid.append(set_key(tokens) if len(tokens) else None)
+                sid2.append(second_key(tokens) if len(tokens) else None)
                 sig.append(samples(tokens, count).tobytes() if len(tokens) else None)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("tk"), pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["doc_id", "tk", "sid", "n", "sig"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("tk"), *[pa.array(x, pa.int64()) for x in (sid, sid2, n)], pa.array(sig, pa.binary())], names=["doc_id", "tk", "sid", "sid2", "n", "sig"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     rows = rows.select("doc_id", F.xxhash64("t").alias("tk"), hashed_words("t").alias("wh"))
-    return rows.mapInArrow(sign, "doc_id long, tk long, sid long, n long, sig binary")
+    return rows.mapInArrow(sign, "doc_id long, tk long, sid long, sid2 long, n long, sig binary")
 
 
 def paths(sets: DataFrame, scratch: Scratch, runs: int, depth: int, bucket: int) -> DataFrame:
@@ -286,6 +308,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     runs = runs or runs_for(threshold, depth)
     count = max(SAMPLES, runs * depth)
     members = scratch.write(signed_sets(docs, id_col, text_col, count), "members")
+    alike = members.where("sid is not null").groupBy("sid").agg(F.min("sid2").alias("a"), F.max("sid2").alias("b")).where("a <> b").select("sid")
+    clashes = scratch.write(alike, "clashes")
+    clashes = clashes if clashes.head(1) else None  # some 25 in 3 * 10^10 different sets
+    members = told_apart(members, clashes)
     some = members.where("sid is not null")
     sets = scratch.write(some.groupBy("sid").agg(F.count(F.lit(1)).alias("weight"), F.min("n").alias("n"), F.min("sig").alias("sig"), F.min("tk").alias("tk")), "sets")
     found = scratch.write(paths(sets, scratch, runs, depth, bucket), "cells")
@@ -298,12 +324,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [shingles(words) for words in each_row(batch, "wh")]
-            yield pa.record_batch([pa.array([set_key(x) if len(x) else None for x in out], pa.int64()), pa.array([x.tobytes() for x in out], pa.binary())], names=["sid", "tokens"])
+            keys = [pa.array([key(x) if len(x) else None for x in out], pa.int64()) for key in (set_key, second_key)]
+            yield pa.record_batch([*keys, pa.array([x.tobytes() for x in out], pa.binary())], names=["sid", "sid2", "tokens"])
 
     wanted = close.select("tk").distinct()
     texts = docs.select(F.col(text_col).cast("string").alias("t")).withColumn("tk", F.xxhash64("t")).join(wanted.hint("merge"), "tk", "left_semi")
-    texts = texts.groupBy("tk").agg(F.first("t").alias("t")).select(hashed_words("t").alias("wh"))
-    built = texts.mapInArrow(tokens, "sid long, tokens binary")
+    texts = texts.groupBy("tk", F.xxhash64(F.lit(2), "t")).agg(F.first("t").alias("t")).select(hashed_words("t").alias("wh"))
+    built = told_apart(texts.mapInArrow(tokens, "sid long, sid2 long, tokens binary"), clashes).dropDuplicates(["sid"])
     schema = pa.schema([("sid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
     links = scratch.write(per_group(close.join(built.hint("merge"), "sid"), "cell", second_look(threshold), "sid long, links long, root long", schema), "links")
     linked = links.groupBy("sid").agg(F.sum("links").alias("links"))

@@ -110,3 +110,20 @@ def test_target_recall():
     for threshold, depth in ((0.8, 2), (0.8, 6), (0.5, 2)):
         assert (1 - threshold**depth) ** jaccard.runs_for(threshold, depth) <= 5e-6
     assert (jaccard.runs_for(0.8, jaccard.DEPTH), jaccard.runs_for(0.8, 6)) == (12, 41)
+
+
+def test_sets_that_share_a_key_are_told_apart(spark, monkeypatch):
+    from factloom.llm import jaccard
+
+    real = jaccard.set_key
+    monkeypatch.setattr(jaccard, "set_key", lambda tokens: real(tokens) & 7)
+    rows = made(2)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df) == brute(rows)
+
+
+def test_very_long_texts(spark):
+    words = [f"w{k}" for k in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[2000:])), (3, " ".join(words[:40_000])), (4, "w1 w2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df) == brute(rows)
