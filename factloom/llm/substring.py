@@ -6,7 +6,8 @@ length whose hash is least, which two equal windows choose alike; so a level cou
 what is repeated in two documents at one level is extended to the next, until no candidate survives or the full length is reached.
 
 Survivors of a level are handed to the next pass as a bitmap of fixed size (2^filter_bits bits, 8 MB), whatever the size of the
-input: it lets some others through as well, never holds one back, and the full length decides by an exact join.
+input: it lets some others through as well, never holds one back, and the full length decides by a join on the windows' 64-bit
+hashes. A second hash of 32 bits tells whether different windows share a first one; then the join is on both.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import Scratch, table
-from factloom.llm.jaccard import each_row, hashed_words, window_hashes
+from factloom.llm.jaccard import each_row, hashed_words, other_words, window_hashes
 
 WINDOW = 13
 FILTER_BITS = 26
@@ -72,17 +73,21 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("doc_id", "t").alias("k"), "t")
 
 
-def candidates(rows: DataFrame, window: int, passed: list[tuple[int, object]], length: int, places: bool) -> DataFrame:
+def second_hash(words: np.ndarray, window: int) -> np.ndarray:
+    return (window_hashes(other_words(words), window) >> np.uint64(32)).astype(np.int64)
+
+
+def candidates(rows: DataFrame, window: int, passed: list[tuple[int, object]], length: int, places: bool, second: bool = False) -> DataFrame:
     """h and doc_id of what stands, at this length, for the windows that all bitmaps of passed (length, broadcast) let through.
 
-    places: one row for each window, with k and pos; else one for each hash and document.
+    places: one row for each window, with k and pos; else one for each hash and document. second: with g, the second hash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = [(n, b.value) for n, b in passed]
         for batch in batches:
             ids, keys = batch.column("doc_id").to_numpy(), batch.column("k").to_numpy()
-            out_h, out_pos, counts = [], [], []
+            out_h, out_g, out_pos, counts = [], [], [], []
             for words in each_row(batch, "wh"):
                 if len(words) < window:
                     counts.append(0)
@@ -92,13 +97,22 @@ def candidates(rows: DataFrame, window: int, passed: list[tuple[int, object]], l
                     stand = standing(words, n, window)[alive]
                     alive = alive[in_bitmap(bitmap, stand)]
                 h = standing(words, length, window)[alive]
-                if not places:
+                g = second_hash(words, window)[alive] if second else None
+                if not places and not second:
                     h = np.unique(h)
+                elif not places and len(h):
+                    order = np.argsort(h)
+                    h, g = h[order], g[order]
+                    new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
+                    h, g = h[new], g[new]
                 out_h.append(h)
+                out_g.append(g)
                 out_pos.append(alive)
                 counts.append(len(h))
             h = np.concatenate([np.zeros(0, np.uint64), *out_h]).view(np.int64)
             columns = {"h": pa.array(h), "doc_id": pa.array(np.repeat(ids, counts))}
+            if second:
+                columns |= {"g": pa.array(np.concatenate([np.zeros(0, np.int64), *out_g]))}
             if places:
                 columns |= {"k": pa.array(np.repeat(keys, counts)), "pos": pa.array(np.concatenate([np.zeros(0, np.int64), *out_pos]).astype(np.int32))}
             whole = pa.record_batch(list(columns.values()), names=list(columns))
@@ -106,23 +120,29 @@ def candidates(rows: DataFrame, window: int, passed: list[tuple[int, object]], l
                 yield whole.slice(a, 100_000)
 
     source = rows.where("doc_id is not null").select("doc_id", "k", hashed_words("t").alias("wh"))
-    return source.mapInArrow(run, "h long, doc_id long" + ", k long, pos int" * places)
+    return source.mapInArrow(run, "h long, doc_id long" + ", g long" * second + ", k long, pos int" * places)
 
 
 def repeated_places(docs: DataFrame, id_col: str, text_col: str, window: int, filter_bits: int, scratch: Scratch) -> DataFrame | None:
     """doc_id, k, places: starts of the windows that a smaller doc_id holds as well; None if a level has no survivor."""
     spark = docs.sparkSession
-    rows, passed, least = keyed(docs, id_col, text_col), [], None
+    rows, passed, keys = keyed(docs, id_col, text_col), [], ["h"]
     for length in levels(window):
-        found = candidates(rows, window, passed, length, False)
+        last = length == window
+        found = candidates(rows, window, passed, length, False, last)
         # Least and greatest document are summed before the shuffle: a passage of a third of all documents is one row a task.
-        least = found.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("h", "least")
+        second = [F.min("g").alias("g0"), F.max("g").alias("g1")] if last else []
+        least = found.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), *second).where("least < most").drop("most")
         least = scratch.write(least, f"level{length}")
+        if last and least.where("g0 <> g1").head(1):
+            keys = ["h", "g"]
+            least = found.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+            least = scratch.write(least, "both")
         if not least.head(1):
             return None
         passed.append((length, spark.sparkContext.broadcast(bitmap_of(least, filter_bits))))
-    found = candidates(rows, window, passed, window, True)
-    found = found.join(least, "h").where(F.col("doc_id") > F.col("least"))
+    found = candidates(rows, window, passed, window, True, len(keys) == 2)
+    found = found.join(least.select(*keys, "least"), keys).where(F.col("doc_id") > F.col("least"))
     return scratch.write(found.groupBy("k", "doc_id").agg(F.collect_set("pos").alias("places")), "places")
 
 

@@ -51,3 +51,23 @@ def test_equals_brute_force(spark):
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert got(docs) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_windows_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    """With first hashes of five bits nearly all windows clash; the second hash keeps words that are not repeated."""
+    from factloom.llm import substring
+
+    real = substring.standing
+    monkeypatch.setattr(substring, "standing", lambda words, length, window: real(words, length, window) & substring.np.uint64(31))
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice("abcdefghij") + str(rng.randrange(9)) for _ in range(40))) for k in range(30)]
+    rows += [(40, rows[3][1] + " tail"), (41, "head " + rows[7][1][:60])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df) == brute(rows) and sum(r[2] for r in brute(rows)) > 0
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{k}" for k in range(200_000))
+    rows = [(1, text), (2, "x " + text[500_000:600_000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df) == brute(rows)
