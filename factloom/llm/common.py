@@ -63,12 +63,23 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         atexit.register(_delete_quietly, spark, self.root)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        schema = df.schema
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+    def write(self, df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
+        """df as a table. arrow_rows: rows that go to Python workers together while it is written, where rows are large."""
+        schema, setting = df.schema, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(setting, None)
+        if arrow_rows:
+            self.spark.conf.set(setting, str(arrow_rows))
+        try:
+            self._write(df, name)
+        finally:
+            if arrow_rows:
+                self.spark.conf.unset(setting) if before is None else self.spark.conf.set(setting, before)
         del df
         free_shuffles(self.spark)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
+    def _write(self, df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+
     def drop(self, name: str) -> None:
         _delete_quietly(self.spark, f"{self.root}/{name}")

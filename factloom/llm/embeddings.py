@@ -2,7 +2,8 @@
 
 Vectors are turned onto the principal axes of all vectors, so that the leading coordinates hold most of their length. They are
 sorted along the first axes and cut into blocks; two blocks whose boxes lie further apart than the threshold allows are never
-compared. Within a tile (two blocks) products grow by some coordinates at a time; what the rest can still add is bounded by the
+compared. Blocks that follow each other travel in groups: two groups with near blocks are one task's rows, so a block is
+moved once for many comparisons. Within a tile (two blocks) products grow by some coordinates at a time; what the rest can still add is bounded by the
 product of the suffix norms, and rows and columns that cannot reach the threshold any more drop out. Pairs that are left are
 decided by the cosine of the vectors as they came, in double precision.
 
@@ -21,14 +22,20 @@ from pyspark.sql import functions as F
 
 from factloom.llm.common import Scratch, table
 from factloom.llm.graph import connected_components, forest
+from factloom.llm.jaccard import groups
 
 THRESHOLD = 0.98
 BLOCK = 1024
 STEP = 16
 #: Leading coordinates that a block's box covers.
 BOX = 8
-#: Lengths of vectors (the most common ones) for which axes are found; others keep the axes they have.
-MOST_LENGTHS = 8
+#: Numbers in the axes that are broadcast (64 MB): axes are found for the most common lengths as far as they fit; others keep
+#: the axes they have.
+MOST_NUMBERS = 1 << 23
+#: Bytes of vectors in two groups of blocks.
+GROUP_BYTES = 64 << 20
+#: Blocks of one label and length from which their cells take a second and a third axis.
+MORE_AXES = (64, 4096)
 
 
 def usable(vector: Column) -> Column:
@@ -55,7 +62,11 @@ def by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
 
 def principal_axes(nodes: DataFrame) -> dict[int, np.ndarray]:
     """Axes by descending variance for the most common lengths, from the second moments of all vectors."""
-    common = [r["dim"] for r in nodes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(MOST_LENGTHS).collect()]
+    common, numbers = [], 0
+    for r in nodes.where(F.col("dim") * F.col("dim") <= MOST_NUMBERS).groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1024).collect():
+        if numbers + r["dim"] ** 2 <= MOST_NUMBERS:
+            common.append(r["dim"])
+            numbers += r["dim"] ** 2
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -92,7 +103,7 @@ def blocks(nodes: DataFrame, axes, reach: float) -> DataFrame:
 
     placed = nodes.mapInArrow(lead, "nid long, label string, dim int, weight long, v array<double>, box array<double>")
     cell = lambda k: F.floor(F.col("box")[k] / F.lit(reach / 2))
-    order = ["label", "dim", cell(0), cell(1), F.col("box")[2], "nid"]
+    order = ["label", "dim", cell(0), cell(1), cell(2), F.col("box")[3], "nid"]
     placed = placed.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,14 +139,40 @@ def blocks(nodes: DataFrame, axes, reach: float) -> DataFrame:
 
 
 def near_pairs(found: DataFrame, reach: float) -> DataFrame:
-    """a and b of the blocks (a <= b) of one label and length whose boxes are within reach: met by cells of the first axis."""
-    cells = F.sequence(F.floor(F.col("lo")[0] / reach), F.floor(F.col("hi")[0] / reach))
-    side = lambda x, c: found.select(F.col("block").alias(x), "label", "dim", F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"), F.explode(c).alias("cell"))
-    wide = F.array_distinct(F.flatten(F.transform(cells, lambda c: F.array(c - 1, c, c + 1))))
-    pairs = side("a", cells).join(side("b", wide), ["label", "dim", "cell"]).where("a <= b")
+    """a and b of the blocks (a <= b) of one label and length whose boxes are within reach.
+
+    They meet by the cells of up to three axes that their boxes touch, the more blocks a label has the more axes; the boxes'
+    distance then decides, before pairs that meet in several cells are made one.
+    """
+    sizes = found.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
+    boxes = found.select("block", "label", "dim", "lo", "hi").join(sizes, ["label", "dim"])
+    axes = F.lit(1) + sum((F.col("n") > x).cast("int") for x in MORE_AXES)
+
+    def cells(wide: int) -> Column:
+        span = lambda k: F.when(axes > k, F.sequence(F.floor(F.col("lo")[k] / reach) - wide, F.floor(F.col("hi")[k] / reach) + wide)).otherwise(F.array(F.lit(0).cast("bigint")))
+        return F.flatten(F.flatten(F.transform(span(0), lambda x: F.transform(span(1), lambda y: F.transform(span(2), lambda z: F.struct(x.alias("x"), y.alias("y"), z.alias("z")))))))
+
+    side = lambda x, wide: boxes.select(F.col("block").alias(x), "label", "dim", F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"), F.explode(cells(wide)).alias("cell"))
+    pairs = side("a", 0).join(side("b", 1), ["label", "dim", "cell"]).where("a <= b")
     gap = lambda k: F.greatest(F.lit(0.0), F.col("lo_a")[k] - F.col("hi_b")[k], F.col("lo_b")[k] - F.col("hi_a")[k])
     apart = sum((gap(k) * gap(k) for k in range(1, BOX)), gap(0) * gap(0))
-    return pairs.where(apart <= reach * reach * (1 + 1e-9)).select("a", "b").distinct()
+    return pairs.where(apart <= reach * reach * (1 + 1e-9)).select("dim", "a", "b").distinct()
+
+
+def in_reach(lo: np.ndarray, hi: np.ndarray, reach: float) -> np.ndarray:
+    """Whether the boxes of each two blocks are within reach, as near_pairs has it."""
+    gap = np.maximum(0, np.maximum(lo[:, None] - hi[None], lo[None] - hi[:, None]))
+    return (gap * gap).sum(axis=2) <= reach * reach * (1 + 1e-9)
+
+
+def tiles_of(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The blocks of each two groups that have near blocks: tile, ga, gb and the block's columns. A group is as many blocks that
+    follow each other (a power of two, eight at most) as GROUP_BYTES allows for their length."""
+    size = lambda k: F.lit(2 * k * BLOCK * 8).cast("bigint") * F.col("dim") <= GROUP_BYTES
+    shift = F.when(size(8), 3).when(size(4), 2).when(size(2), 1).otherwise(0)
+    pairs = pairs.select("a", "b", shift.alias("s")).select("a", "b", F.call_function("shiftright", F.col("a"), F.col("s")).alias("ga"), F.call_function("shiftright", F.col("b"), F.col("s")).alias("gb"))
+    held = pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("block"), "ga", "gb").distinct()
+    return held.join(found, "block").withColumn("tile", F.xxhash64("ga", "gb", "label", "dim"))
 
 
 def linked_pairs(left: np.ndarray, right: np.ndarray, axes: np.ndarray | None, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -174,6 +211,46 @@ def linked_pairs(left: np.ndarray, right: np.ndarray, axes: np.ndarray | None, t
     return i[good], j[good]
 
 
+def by_values(rows: pa.Table, columns: tuple[str, ...]) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
+    """Row numbers for each combination of the columns' values."""
+    values = np.column_stack([rows.column(c).to_numpy() for c in columns])
+    for x in np.unique(values, axis=0):
+        yield tuple(x.tolist()), np.flatnonzero((values == x).all(axis=1))
+
+
+def links_of(blocks: list[dict], ga: int, gb: int, axes: dict[int, np.ndarray], threshold: float, reach: float) -> Iterator[pa.RecordBatch]:
+    """nid, links and root for the pairs of near blocks, the first of group ga, the second of group gb.
+
+    The forest spans all tiles of the two groups, so at most as many rows leave it as there are vectors in the groups.
+    """
+    dim = blocks[0]["dim"]
+    shift = next(s for s in (3, 2, 1, 0) if s == 0 or (2 << s) * BLOCK * 8 * dim <= GROUP_BYTES)
+    blocks = sorted(blocks, key=lambda x: x["block"])
+    vectors = [np.frombuffer(x["v"]).reshape(-1, dim) for x in blocks]
+    nid, weight = (np.concatenate([np.frombuffer(x[c], np.int64) for x in blocks]) for c in ("nid", "weight"))
+    first = np.cumsum([0, *map(len, vectors)])
+    near = in_reach(np.array([x["lo"] for x in blocks]), np.array([x["hi"] for x in blocks]), reach)
+    links, parent = np.zeros(len(nid), np.int64), {}
+    for x, a in enumerate(blocks):
+        for y in range(x, len(blocks)):
+            b = blocks[y]
+            if not near[x, y] or a["label"] != b["label"] or (a["block"] >> shift, b["block"] >> shift) != (ga, gb):
+                continue
+            i, j = linked_pairs(vectors[x], vectors[y], axes.get(dim), threshold, x == y)
+            i, j = i + first[x], j + first[y]
+            np.add.at(links, i, weight[j])
+            np.add.at(links, j, weight[i])
+            parent[x, y] = (i, j)
+    if not parent:
+        return
+    root = np.arange(len(nid))
+    i, j = (np.concatenate([p[k] for p in parent.values()]) for k in (0, 1))
+    for x, r in forest(len(nid), i, j):
+        root[x] = r
+    at = np.flatnonzero(links)
+    yield pa.record_batch([pa.array(nid[at]), pa.array(links[at]), pa.array(nid[root[at]])], names=["nid", "links", "root"])
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """Per row of vectors: vec_id, n_links, component_id, kept.
 
@@ -194,28 +271,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9)
     found = scratch.write(blocks(nodes.drop("least"), axes, reach), "blocks")
     pairs = scratch.write(near_pairs(found, reach), "pairs")
-    half = lambda x: found.select(F.col("block").alias(x), "dim", *[F.col(c).alias(f"{c}_{x}") for c in ("nid", "weight", "v")])
-    tiles = pairs.repartition("a", "b").join(half("a"), "a").join(half("b").drop("dim"), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                get = lambda c: batch.column(c)[k].as_py()  # noqa: B023, E731
-                dim, same = get("dim"), get("a") == get("b")
-                left, right = (np.frombuffer(get(c)).reshape(-1, dim) for c in ("v_a", "v_b"))
-                i, j = linked_pairs(left, right, axes.value.get(dim), threshold, same)
-                nid, weight = np.frombuffer(get("nid_a"), np.int64), np.frombuffer(get("weight_a"), np.int64)
-                if not same:
-                    nid, weight = np.concatenate([nid, np.frombuffer(get("nid_b"), np.int64)]), np.concatenate([weight, np.frombuffer(get("weight_b"), np.int64)])
-                    j = j + len(left)
-                links = np.bincount(i, weight[j], len(nid)) + np.bincount(j, weight[i], len(nid))
-                root = np.arange(len(nid))
-                for x, r in forest(len(nid), i, j):
-                    root[x] = r
-                at = np.flatnonzero(links)
-                yield pa.record_batch([pa.array(nid[at]), pa.array(links[at].astype(np.int64)), pa.array(nid[root[at]])], names=["nid", "links", "root"])
-
-    links = scratch.write(tiles.mapInArrow(compare, "nid long, links long, root long"), "links")
+        for held in groups(batches, "tile"):
+            for (ga, gb, _), at in by_values(held, ("ga", "gb", "dim")):  # tiles may share a hash
+                yield from links_of(held.take(pa.array(at)).to_pylist(), ga, gb, axes.value, threshold, reach)
+
+    tiles = tiles_of(pairs, found).repartition("tile").sortWithinPartitions("tile")
+    links = scratch.write(tiles.mapInArrow(compare, "nid long, links long, root long"), "links", arrow_rows=16)
     joined = connected_components(links.select(F.col("nid").alias("u"), F.col("root").alias("v")), "embedding-components")
     counted = links.groupBy("nid").agg(F.sum("links").alias("links"))
     whole = nodes.select("nid", "weight", "least").join(joined, nodes["nid"] == joined["node"], "left").drop("node").join(counted, "nid", "left")

@@ -74,3 +74,21 @@ def test_documents_in_small_blocks(spark, monkeypatch):
     rows = made()
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
     assert sorted(map(tuple, near_vectors(df).collect()), key=str) == brute(rows)
+
+
+def test_more_axes_and_small_groups(spark, monkeypatch):
+    """Cells of three axes and groups of one, two and eight blocks find the same links."""
+    monkeypatch.setattr(embeddings, "BLOCK", 4)
+    monkeypatch.setattr(embeddings, "MORE_AXES", (2, 4))
+    rows = made()
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    for size in (1, 2 * 2 * 4 * 8 * 40, 64 << 20):
+        monkeypatch.setattr(embeddings, "GROUP_BYTES", size)
+        assert sorted(map(tuple, near_vectors(df).collect()), key=str) == brute(rows)
+
+
+def test_axes_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "MOST_NUMBERS", 100)
+    rows = made()
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    assert sorted(map(tuple, near_vectors(df).collect()), key=str) == brute(rows)
