@@ -56,12 +56,26 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Folders of tables that this Python process has made and not removed.
+_FOLDERS: set[str] = set()
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes all tables between steps that this process has made: to be called in a long session when results are written."""
+    while _FOLDERS:
+        _delete_quietly(spark, _FOLDERS.pop())
+
+
 class Scratch:
-    """Tables in the shared folder, which outlive any executor. drop() removes one early; the rest go when Python ends."""
+    """Tables in the shared folder, which outlive any executor. drop() removes one early; clear_scratch() removes all, at the
+    latest when Python ends. Results read them lazily, so they stay until then."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        atexit.register(_delete_quietly, spark, self.root)
+        if not _FOLDERS:
+            atexit.unregister(clear_scratch)
+            atexit.register(clear_scratch, spark)
+        _FOLDERS.add(self.root)
 
     def write(self, df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
         """df as a table. arrow_rows: rows that go to Python workers together while it is written, where rows are large."""

@@ -38,3 +38,16 @@ def test_a_hot_key_splits_on(spark):
         sizes[r.shard_id] = sizes.get(r.shard_id, 0) + r.n_bytes
     assert len(found) == len(rows) and max(sizes.values()) <= 1000 and all(sizes[r.shard_id] == r.shard_bytes for r in found)
     assert shards(df.limit(0)).count() == 0
+
+
+def test_equals_sql_under_a_limit_that_splits(spark):
+    """The query's own SQL, with a limit of 64 kB in place of 64 MB, so that 2.4 MB of documents make some fifty shards."""
+    import duckdb
+
+    from factloom.llm.sharding import LIMIT, ORACLE, oracle
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    want = duckdb.connect().execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'").execute(oracle(1 << 16)).fetchall()
+    got = [tuple(r) for r in shards(spark.read.parquet(path), limit=1 << 16).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len({r[2] for r in got}) > 30
+    assert oracle(LIMIT) == ORACLE
