@@ -8,18 +8,20 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def get_spark(app: str = "factloom", cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A session with the settings that the operators rely on: UTC and adaptive execution."""
+def get_spark(app: str = "factloom", cores: str | int = "*", shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
+    """A session with the settings that the operators rely on: UTC and adaptive execution. The number of shuffle partitions is
+    the cluster's own unless it is given."""
     builder = (
         SparkSession.builder.master(os.environ.get("SPARK_MASTER", f"local[{cores}]"))
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()
@@ -28,9 +30,12 @@ def get_spark(app: str = "factloom", cores: str | int = "*", shuffle_partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests, one machine) a new local one, which is then set."""
+    """The folder of spark.checkpoint.dir; where that is unset, on one machine, a new local one, which is then set. A cluster
+    needs the setting: a folder of one machine is not seen by the others."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="factloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found
