@@ -26,6 +26,8 @@ from factloom.llm.jaccard import each_row, hashed_words, other_words, window_has
 WINDOW = 13
 FILTER_BITS = 26
 SHORTEST = 6
+#: Rows that go to and from Python workers together: texts, windows.
+TEXTS, SENT = 1000, 200_000
 
 
 def levels(window: int) -> list[int]:
@@ -83,41 +85,41 @@ def candidates(rows: DataFrame, window: int, passed: list[tuple[int, object]], l
     places: one row for each window, with k and pos; else one for each hash and document. second: with g, the second hash.
     """
 
+    def of_text(words: np.ndarray, maps: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, ...]:
+        alive = np.arange(len(words) - window + 1)
+        for n, bitmap in maps:
+            alive = alive[in_bitmap(bitmap, standing(words, n, window)[alive])]
+        h = standing(words, length, window)[alive]
+        g = second_hash(words, window)[alive] if second else alive
+        if not places:
+            order = np.argsort(h)
+            h, g = h[order], g[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1]) if second else h[1:] != h[:-1]
+            return h[new], g[new], alive[:0]
+        return h, g, alive
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps = [(n, b.value) for n, b in passed]
+        names = ["h", "doc_id", *["g"] * second, *["k", "pos"] * places]
+
+        def sent(held: list[tuple]) -> pa.RecordBatch:
+            ids, keys, parts = zip(*held, strict=True) if held else ((), (), ())
+            counts = [len(x[0]) for x in parts]
+            h, g, pos = (np.concatenate([np.zeros(0, t), *(x[k] for x in parts)]) for k, t in enumerate((np.uint64, np.int64, np.int64)))
+            columns = {"h": h.view(np.int64), "doc_id": np.repeat(np.array(ids, np.int64), counts), "g": g, "k": np.repeat(np.array(keys, np.int64), counts), "pos": pos.astype(np.int32)}
+            return pa.record_batch([pa.array(columns[n]) for n in names], names=names)
+
         for batch in batches:
-            ids, keys = batch.column("doc_id").to_numpy(), batch.column("k").to_numpy()
-            out_h, out_g, out_pos, counts = [], [], [], []
-            for words in each_row(batch, "wh"):
-                if len(words) < window:
-                    counts.append(0)
-                    continue
-                alive = np.arange(len(words) - window + 1)
-                for n, bitmap in maps:
-                    stand = standing(words, n, window)[alive]
-                    alive = alive[in_bitmap(bitmap, stand)]
-                h = standing(words, length, window)[alive]
-                g = second_hash(words, window)[alive] if second else None
-                if not places and not second:
-                    h = np.unique(h)
-                elif not places and len(h):
-                    order = np.argsort(h)
-                    h, g = h[order], g[order]
-                    new = np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
-                    h, g = h[new], g[new]
-                out_h.append(h)
-                out_g.append(g)
-                out_pos.append(alive)
-                counts.append(len(h))
-            h = np.concatenate([np.zeros(0, np.uint64), *out_h]).view(np.int64)
-            columns = {"h": pa.array(h), "doc_id": pa.array(np.repeat(ids, counts))}
-            if second:
-                columns |= {"g": pa.array(np.concatenate([np.zeros(0, np.int64), *out_g]))}
-            if places:
-                columns |= {"k": pa.array(np.repeat(keys, counts)), "pos": pa.array(np.concatenate([np.zeros(0, np.int64), *out_pos]).astype(np.int32))}
-            whole = pa.record_batch(list(columns.values()), names=list(columns))
-            for a in range(0, max(1, whole.num_rows), 100_000):
-                yield whole.slice(a, 100_000)
+            held, size = [], 0
+            for doc_id, key, words in zip(batch.column("doc_id").to_numpy(), batch.column("k").to_numpy(), each_row(batch, "wh"), strict=True):
+                if len(words) >= window:
+                    held.append((doc_id, key, of_text(words, maps)))
+                    size += len(held[-1][2][0])
+                if size >= SENT:
+                    yield sent(held)
+                    held, size = [], 0
+            yield sent(held)
 
     source = rows.where("doc_id is not null").select("doc_id", "k", hashed_words("t").alias("wh"))
     return source.mapInArrow(run, "h long, doc_id long" + ", g long" * second + ", k long, pos int" * places)
@@ -130,20 +132,22 @@ def repeated_places(docs: DataFrame, id_col: str, text_col: str, window: int, fi
     for length in levels(window):
         last = length == window
         found = candidates(rows, window, passed, length, False, last)
-        # Least and greatest document are summed before the shuffle: a passage of a third of all documents is one row a task.
+        # The least document is found before the shuffle as well: a passage of a third of all documents is one row a task.
         second = [F.min("g").alias("g0"), F.max("g").alias("g1")] if last else []
-        least = found.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), *second).where("least < most").drop("most")
-        least = scratch.write(least, f"level{length}")
+        # The number of rows stands for that of documents: it is small and so packs better than a greatest doc_id would, and
+        # what rows of one doc_id alone let through is dropped in the end.
+        least = found.groupBy("h").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"), *second).where("n > 1").drop("n")
+        least = scratch.write(least, f"level{length}", TEXTS)
         if last and least.where("g0 <> g1").head(1):
             keys = ["h", "g"]
-            least = found.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-            least = scratch.write(least, "both")
+            least = found.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+            least = scratch.write(least, "both", TEXTS)
         if not least.head(1):
             return None
         passed.append((length, spark.sparkContext.broadcast(bitmap_of(least, filter_bits))))
     found = candidates(rows, window, passed, window, True, len(keys) == 2)
     found = found.join(least.select(*keys, "least"), keys).where(F.col("doc_id") > F.col("least"))
-    return scratch.write(found.groupBy("k", "doc_id").agg(F.collect_set("pos").alias("places")), "places")
+    return scratch.write(found.groupBy("k", "doc_id").agg(F.collect_set("pos").alias("places")), "places", TEXTS)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -163,23 +167,24 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = re.compile(r"[^\x20\x09-\x0D]+")
-        for batch in batches:
-            n, gone, kept = [], [], []
-            for text, places in zip(batch.column("t").to_pylist(), batch.column("places"), strict=True):
-                words = word.findall(text or "")
-                n.append(len(words))
-                if places.is_valid and len(places.values):
-                    at = places.values.to_numpy()
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
-                    covered = np.cumsum(edge[:-1]) > 0
-                    gone.append(int(covered.sum()))
-                    words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
-                else:
-                    gone.append(0)
-                kept.append(" ".join(words))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+        for whole in batches:
+            for batch in (whole.slice(k, 256) for k in range(0, max(1, whole.num_rows), 256)):
+                n, gone, kept = [], [], []
+                for text, places in zip(batch.column("t").to_pylist(), batch.column("places"), strict=True):
+                    words = word.findall(text or "")
+                    n.append(len(words))
+                    if places.is_valid and len(places.values):
+                        at = places.values.to_numpy()
+                        edge = np.zeros(len(words) + 1, np.int64)
+                        np.add.at(edge, at, 1)
+                        np.add.at(edge, at + window, -1)
+                        covered = np.cumsum(edge[:-1]) > 0
+                        gone.append(int(covered.sum()))
+                        words = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]
+                    else:
+                        gone.append(0)
+                    kept.append(" ".join(words))
+                yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     return rows.select("doc_id", "t", "places").mapInArrow(strip, "doc_id long, n_words long, n_removed long, kept_text string")
 
