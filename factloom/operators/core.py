@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.operators.stored import Steps
+
 
 def gated(rows: DataFrame, sure: Column, refused: Column, *vouched: Column) -> DataFrame:
     """The publication gate: sure, not refused, and vouched for in one way at least. A plain filter, so it reaches the scan."""
@@ -15,13 +17,18 @@ def gated(rows: DataFrame, sure: Column, refused: Column, *vouched: Column) -> D
 
 
 def rolled_up(uses: DataFrame, key: str | list[str], document: str, page: str, source: str) -> DataFrame:
-    """Per key: distinct documents and pages, uses, and its sources sorted in one string."""
+    """Per key: distinct documents and pages, uses, and its sources sorted in one string.
+
+    Rows become one a page, then one a document, then one a key, so no row is expanded for a distinct count; sets of sources
+    are as many as there are combinations of them.
+    """
     keys = [key] if isinstance(key, str) else key
-    return uses.groupBy(*keys).agg(
-        F.countDistinct(document).alias("documents"),
-        F.countDistinct(document, page).alias("pages"),
-        F.count(F.lit(1)).alias("uses"),
-        F.array_join(F.sort_array(F.collect_set(source)), " ").alias("sources"),
+    union = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    pages = uses.groupBy(*keys, F.col(document).alias("_d"), F.col(page).alias("_p")).agg(F.count(F.lit(1)).alias("n"), F.collect_set(source).alias("s"))
+    pages = pages.withColumn("known", (F.col("_d").isNotNull() & F.col("_p").isNotNull()).cast("int"))
+    documents = pages.groupBy(*keys, "_d").agg(F.sum("known").alias("pages"), F.sum("n").alias("n"), union("s").alias("s"))
+    return documents.groupBy(*keys).agg(
+        F.count("_d").alias("documents"), F.sum("pages").alias("pages"), F.sum("n").alias("uses"), F.array_join(F.sort_array(union("s")), " ").alias("sources")
     )
 
 
@@ -35,6 +42,20 @@ def first_n(rows: DataFrame, keys: list[str], n: int, *order: Column) -> DataFra
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= n).drop("_rank")
 
 
+def ranked(rows: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """rows with their place within the key, from 1, in the order. A range sort over key and order deals a hot key's rows over
+    as many partitions as they need; places follow from the counts of the partitions before."""
+    steps, ordered = Steps(rows.sparkSession, "ranked"), [f"_o{k}" for k in range(len(order))]
+    rows = rows.select("*", *[o.alias(c) for o, c in zip(order, ordered, strict=True)])
+    by = [*keys, *ordered]
+    rows = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    rows = steps.next(rows).withColumn("_part", F.shiftright("_at", 33))
+    parts = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))  # keys + partitions rows
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*keys, "_part", "_first", before.alias("_before"))
+    return rows.join(parts, [*keys, "_part"]).withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_at", "_part", "_first", "_before", *ordered)
+
+
 def islands(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
     """Runs of consecutive numbers: keys, first, last, length. Numbers are made distinct first."""
     run = F.col(number) - F.row_number().over(Window.partitionBy(*keys).orderBy(number))
@@ -49,10 +70,12 @@ def looked_back(rows: DataFrame, key: str, number: str, value: Column, gap: int)
 
 
 def copies(rows: DataFrame, checksum: str, *order: Column) -> DataFrame:
-    """One row per known checksum: the first in the order, with the number of copies."""
+    """One row per known checksum: the first in the order, with the number of copies. Both are found before the shuffle, so a
+    checksum that very many rows share is one row a task."""
+    rest = [c for c in rows.columns if c != checksum]
     known = rows.where(F.col(checksum).isNotNull())
-    counted = known.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy(checksum)) - 1)
-    return first_by(counted, [checksum], *order)
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*order))
+    return known.groupBy(checksum).agg(first.alias("_first"), (F.count(F.lit(1)) - 1).alias("copies")).select(checksum, "_first.*", "copies")
 
 
 def voted(rows: DataFrame, key: str, value: str, voter: str, margin: int = 3) -> DataFrame:
@@ -76,37 +99,22 @@ def by_precedence(key: str, *tables: DataFrame) -> DataFrame:
     return ranked.groupBy(key).agg(F.min(F.struct("tier", "value")).alias("_first")).select(key, "_first.tier", "_first.value")
 
 
-def closure(edges: DataFrame, child: str, parent: str, most: int = 64) -> DataFrame:
-    """child, ancestor, depth over (child, parent), by joins that add a level each; loops end where a pair comes again."""
-    step = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).where("ancestor is not null").withColumn("depth", F.lit(1))
-    out, up = step, edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p")).where("_p is not null")
-    for d in range(2, most):
-        step = step.join(up, step["ancestor"] == up["_c"]).select("child", F.col("_p").alias("ancestor"), F.lit(d).alias("depth"))
-        step = step.join(out.select("child", "ancestor"), ["child", "ancestor"], "left_anti")
-        if not step.head(1):
-            break
-        out = out.union(step)
-    return out
-
-
-def upserted(ledger: DataFrame, stamps: DataFrame, key: str, stages: list[str], checksum: str) -> DataFrame:
-    """Ledger rows with a batch of stamps laid over: null in a stamp keeps what is there; a checksum that changes clears all stages
-    that the batch does not stamp itself."""
-    both = ledger.alias("a").join(stamps.alias("b"), F.col(f"a.{key}").eqNullSafe(F.col(f"b.{key}")), "full_outer")
-    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    changed = b(checksum).isNotNull() & a(checksum).isNotNull() & (a(checksum) != b(checksum))
-    return both.select(
-        F.coalesce(a(key), b(key)).alias(key), F.coalesce(b(checksum), a(checksum)).alias(checksum), *[F.coalesce(b(s), F.when(~F.coalesce(changed, F.lit(False)), a(s))).alias(s) for s in stages]
-    )
-
+def closure(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """child, ancestor, depth (of the shortest way) over (child, parent), whatever the depth; loops end where nothing changes.
 
-def pending(ledger: DataFrame, stages: list[str], stage: str) -> DataFrame:
-    """Rows with all earlier stages dated and this one not."""
-    at = stages.index(stage)
-    ready = F.col(stage).isNull()
-    for s in stages[:at]:
-        ready = ready & F.col(s).isNotNull()
-    return ledger.where(ready)
+    Ways are doubled: after k rounds all of up to 2^k levels are known, so rounds grow with the logarithm of the depth.
+    """
+    steps = Steps(edges.sparkSession, "closure")
+    known = edges.select(F.col(child).alias("child"), F.col(parent).alias("ancestor")).where("child is not null and ancestor is not null").distinct()
+    known, seen = steps.next(known.withColumn("depth", F.lit(1))), None
+    while True:
+        state = tuple(known.agg(F.count(F.lit(1)), F.sum("depth")).first())
+        if state == seen:
+            return known
+        seen = state
+        up = known.select(F.col("child").alias("_c"), F.col("ancestor").alias("_a"), F.col("depth").alias("_d"))
+        longer = known.join(up, known["ancestor"] == up["_c"]).select("child", F.col("_a").alias("ancestor"), (F.col("depth") + F.col("_d")).alias("depth"))
+        known = steps.next(known.union(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
 
 
 def searched(names: DataFrame, name: str, query: str) -> DataFrame:
@@ -118,13 +126,39 @@ def searched(names: DataFrame, name: str, query: str) -> DataFrame:
     return names.withColumn("tier", tier).where((F.length(q) >= 2) & F.col("tier").isNotNull())
 
 
-def matched(wanted: DataFrame, keys: DataFrame, block: int = 3) -> DataFrame:
-    """part, key, how (0 exact, 1 suffix of one to four not beginning with a digit, 2 grade letter): an equality on the first
-    characters makes it a hash join, the rest is a filter on its rows."""
+#: Grade letters that may end a name; letters that may stand before a name in a library.
+GRADES, PREFIX_LETTERS = "ABCGLRS", "QDJMXUTV"
+#: Tails with a digit that are reel codes of distributors.
+REEL = "^([A-Z]{1,2}[0-9]{1,2}|T[0-9]{1,2}|[0-9]{0,2}K)$"
+
+
+def expanded_keys(definitions: DataFrame, name: str, element: str | None = None) -> DataFrame:
+    """definitions with key: the normal name, and the name without a letter that a library sets before it: one of the known
+    letters where a digit follows (longer than two), or the letter of the definition's own element where a letter follows
+    (longer than three)."""
+    from factloom.functions.names import norm
+
+    key = norm(F.col(name))
+    bare, head, after = F.substring(key, 2, 255), F.substring(key, 1, 1), F.substring(key, 2, 1)
+    known = head.rlike(f"[{PREFIX_LETTERS}]") & after.rlike("[0-9]") & (F.length(key) > 2)
+    own = (head == F.upper(F.col(element))) & after.rlike("[A-Z]") & (F.length(key) > 3) if element else F.lit(False)
+    keys = F.array_distinct(F.array_compact(F.array(key, F.when(known | own, bare))))
+    return definitions.withColumn("key", F.explode(keys)).where("key <> ''")
+
+
+def matched(wanted: DataFrame, keys: DataFrame, tag: Column | None = None, block: int = 3) -> DataFrame:
+    """part, key, how: 0 equal; 1 the key goes on for one to four characters, not with a digit, and with none at all unless
+    they are a reel code or follow a mark of a model's tag; 2 the part is the key and a grade letter.
+
+    An equality on the first characters makes it a hash join, the rest is a filter on its rows. Parts shorter than the block
+    match only what equals them; a key shorter than it none but its equal or its grades of block length.
+    """
     a, b = F.col("part"), F.col("key")
     rows = wanted.withColumn("_b", F.substring("part", 1, block)).join(keys.withColumn("_b", F.substring("key", 1, block)), "_b")
-    tail = F.length(b) - F.length(a)
-    suffix = F.startswith(b, a) & tail.between(1, 4) & ~F.substring(b, F.length(a) + 1, F.lit(1)).rlike("[0-9]")
-    grade = F.startswith(a, b) & (tail == -1) & (F.length(b) >= 4) & F.substring(a, F.length(a), F.lit(1)).rlike("[ABCGLRS]")
+    more = F.length(b) - F.length(a)
+    tail = F.substring(b, F.length(a) + 1, F.length(b))
+    plain = ~tail.rlike("[0-9]") | tail.rlike(REEL) | (F.lit(False) if tag is None else tag)
+    suffix = (F.length(a) >= block) & F.startswith(b, a) & more.between(1, 4) & ~tail.rlike("^[0-9]") & plain
+    grade = F.startswith(a, b) & (more == -1) & (F.length(b) >= 4) & F.substring(a, F.length(a), F.lit(1)).rlike(f"[{GRADES}]")
     how = F.when(a == b, 0).when(suffix, 1).when(grade, 2)
     return rows.select("part", "key", how.alias("how")).where("how is not null")

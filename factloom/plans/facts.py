@@ -28,10 +28,15 @@ def family_lineage(t):
     return core.closure(edges, "child", "parent")
 
 
-@query("""WITH v AS (SELECT l_partkey, l_returnflag, count(DISTINCT l_suppkey)::BIGINT AS mine FROM lineitem GROUP BY ALL),
- o AS (SELECT *, (sum(mine) OVER (PARTITION BY l_partkey) - mine)::BIGINT AS others FROM v) SELECT * FROM o WHERE mine >= 3 * others""")
+DAYS = "(SELECT concat(user_id, '/', CAST(ts AS DATE)) AS item, event_type, hour(ts) AS voter FROM events)"
+
+
+@query(f"""WITH v AS (SELECT item, event_type, count(DISTINCT voter)::BIGINT AS mine FROM {DAYS} GROUP BY ALL),
+ o AS (SELECT *, (sum(mine) OVER (PARTITION BY item) - mine)::BIGINT AS others FROM v) SELECT * FROM o WHERE mine >= 3 * others""")
 def majority_votes(t):
-    return core.voted(t.lineitem, "l_partkey", "l_returnflag", "l_suppkey")
+    """For each user and day: the type of event that hours name three times as often as all others."""
+    rows = t.events.select(F.concat_ws("/", "user_id", F.to_date("ts")).alias("item"), "event_type", F.hour("ts").alias("voter"))
+    return core.voted(rows, "item", "event_type", "voter")
 
 
 @query("SELECT o_custkey, min(o_orderstatus) AS o_orderstatus FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) = 1")

@@ -39,13 +39,13 @@ def variant_groups(t):
     return rows.groupBy("base").agg(F.array_join(F.sort_array(F.collect_set("name")), " ").alias("variants"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH k AS (SELECT {MADE} AS key FROM part), w AS (SELECT DISTINCT regexp_replace({MADE}, '([0-9])[A-Z]{{1,3}}$', '\\1') AS part FROM part WHERE p_partkey % 3 = 0)
+@query(f"""WITH k AS (SELECT DISTINCT {MADE} AS key FROM part), w AS (SELECT DISTINCT regexp_replace({MADE}, '([0-9])[A-Z]{{1,3}}$', '\\1') AS part FROM part)
  SELECT part, key, CASE WHEN part = key THEN 0 ELSE 1 END AS how FROM w JOIN k ON starts_with(key, part) AND length(key) - length(part) BETWEEN 0 AND 4
  AND NOT regexp_matches(substr(key, length(part) + 1, 1), '[0-9]')
  UNION ALL SELECT part, key, 2 FROM w JOIN k ON starts_with(part, key) AND length(part) = length(key) + 1 AND length(key) >= 4 AND regexp_matches(right(part, 1), '[ABCGLRS]')""")
 def prefix_matches(t):
-    wanted = made(t).where("p_partkey % 3 = 0").select(N.base_part(F.col("name")).alias("part")).distinct()
-    return core.matched(wanted, made(t).select(F.col("name").alias("key")), block=6)
+    wanted = made(t).select(N.base_part(F.col("name")).alias("part")).distinct()
+    return core.matched(wanted, made(t).select(F.col("name").alias("key")).distinct())
 
 
 @query(f"""WITH k AS (SELECT {MADE} AS name, p_partkey FROM part), c AS (SELECT p_partkey, name, concat('2N', 3000 + (p_partkey * 7) % 2500) AS alias, concat('2N', 3000 + (p_partkey * 11) % 2500) AS stand_in FROM k),

@@ -10,6 +10,7 @@ from factloom.plans.registry import query
 
 #: Patterns that both engines read alike (ASCII classes, no look-around).
 UPPER, DIGITS, PRICE, ADDRESS = "[A-Z]", "[0-9]+", "[$] ?[0-9]+", "[a-z0-9._]+@[a-z0-9.]+[.][a-z]+"
+NEAR_ADDRESS = "[a-z0-9._]@[a-z0-9.]+[.][a-z]+"
 SECRET = "(token|password|secret|api_key) ?[=:]"
 LOCAL_PATH = "/(home|Users)/[a-z]+"
 URL = "https?://[^ ]+"
@@ -51,8 +52,12 @@ def score_against_labels(t):
 @query(f"""SELECT doc_id, regexp_matches(x, '{SECRET}') AS secret, regexp_matches(x, '{LOCAL_PATH}') AS path, regexp_matches(x, '{ADDRESS}') AS address
  FROM (SELECT doc_id, regexp_replace(text, '{URL}', ' ', 'g') AS x FROM documents)""")
 def guard_flags(t):
-    rows = t.documents.select("doc_id", F.regexp_replace("text", URL, " ").alias("x"))
-    return rows.select("doc_id", F.col("x").rlike(SECRET).alias("secret"), F.col("x").rlike(LOCAL_PATH).alias("path"), F.col("x").rlike(ADDRESS).alias("address"))
+    """Each pattern is tried only where what it cannot do without is found by a plain search, most texts hold none of it."""
+    rows = t.documents.select("doc_id", F.when(F.contains("text", F.lit("://")), F.regexp_replace("text", URL, " ")).otherwise(F.col("text")).alias("x"))
+    has = lambda *marks: F.greatest(*[F.contains(F.col("x"), F.lit(m)) for m in marks], F.lit(False))
+    flag = lambda pattern, *marks: F.when(F.col("x").isNotNull(), F.when(has(*marks), F.col("x").rlike(pattern)).otherwise(F.lit(False)))
+    # An address needs a run of its characters before the sign, but only the last one of them decides: looking from the sign.
+    return rows.select("doc_id", flag(SECRET, "token", "password", "secret", "api_key").alias("secret"), flag(LOCAL_PATH, "/home/", "/Users/").alias("path"), flag(NEAR_ADDRESS, "@").alias("address"))
 
 
 @query(f"""SELECT doc_id, i::INTEGER AS line_no FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) WHERE regexp_matches(line, '{SECRET}')""")

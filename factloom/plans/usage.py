@@ -21,7 +21,6 @@ def gate(rows):
  LEFT JOIN customer c ON c.c_custkey = o.o_custkey GROUP BY p.p_brand""")
 def part_usage_summary(t):
     joined = gate(t.lineitem).join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.part, F.col("l_partkey") == F.col("p_partkey"))
-    joined = joined.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "left")
     return core.rolled_up(joined, "p_brand", "o_orderkey", "l_linenumber", "o_orderpriority")
 
 
@@ -146,14 +145,26 @@ def unsheeted_parts(t):
     return t.lineitem.join(sheeted, "l_partkey", "left_anti").groupBy("l_partkey").agg(F.countDistinct("l_orderkey").alias("documents")).where("documents >= 5")
 
 
-@query()
+#: Documents of a part in its record; the rest have further pages of it.
+RECORD = 20
+
+
+@query(f"""WITH g AS (SELECT l_partkey, l_orderkey, sum(l_quantity) AS times, list_sort(list(DISTINCT l_linenumber)) AS pages FROM lineitem GROUP BY ALL),
+ r AS (SELECT l_partkey, l_orderkey, o_orderpriority, pages, (row_number() OVER (PARTITION BY l_partkey ORDER BY times DESC, l_orderkey) - 1) // {RECORD} AS sheet,
+ row_number() OVER (PARTITION BY l_partkey ORDER BY times DESC, l_orderkey) AS n FROM g JOIN orders ON o_orderkey = l_orderkey)
+ SELECT l_partkey AS p_partkey, sheet::INTEGER AS sheet, count(*)::BIGINT AS documents, p_name AS name,
+ string_agg(l_orderkey || ':' || o_orderpriority || ':' || array_to_string(pages, ' '), ';' ORDER BY n) AS listed
+ FROM r JOIN part ON p_partkey = l_partkey GROUP BY l_partkey, sheet, p_name""")
 def nested_part_pages(t):
-    """One JSON record a part: its documents by value, each with its pages in order."""
+    """Records of a part: its documents by use, each with its pages in order, RECORD documents a sheet. A hot part has more
+    sheets, not a larger record; ranks come from a sort that a hot part's rows go through in partitions of their own size."""
     page = t.lineitem.groupBy("l_partkey", "l_orderkey").agg(F.sort_array(F.collect_set("l_linenumber")).alias("pages"), F.sum("l_quantity").alias("times"))
     docs = page.join(t.orders.select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
-    docs = docs.groupBy("l_partkey").agg(F.array_sort(F.collect_list(F.struct((-F.col("times")).alias("o"), F.col("l_orderkey").alias("doc"), F.col("o_orderpriority").alias("source"), "pages"))).alias("d"))
-    record = F.struct(F.col("p_name").alias("name"), F.transform("d", lambda x: F.struct(x["doc"].alias("doc"), x["source"].alias("source"), x["pages"].alias("pages"))).alias("documents"))
-    return docs.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("p_partkey", F.to_json(record).alias("record"))
+    docs = core.ranked(docs, ["l_partkey"], [-F.col("times"), F.col("l_orderkey")], "n")
+    docs = docs.withColumn("sheet", F.floor((F.col("n") - 1) / RECORD).cast("int"))
+    listed = F.array_sort(F.collect_list(F.struct("n", F.concat_ws(":", "l_orderkey", "o_orderpriority", F.array_join("pages", " ")).alias("x"))))
+    docs = docs.groupBy("l_partkey", "sheet").agg(F.count(F.lit(1)).alias("documents"), F.array_join(F.transform(listed, lambda x: x["x"]), ";").alias("listed"))
+    return docs.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select("p_partkey", "sheet", "documents", F.col("p_name").alias("name"), "listed")
 
 
 @query("""SELECT lower(coalesce(s.n, c.n)) AS name, coalesce(s.k, -1) AS supplier, coalesce(c.k, -1) AS customer, greatest(coalesce(s.b, -1e9), coalesce(c.b, -1e9)) AS best
