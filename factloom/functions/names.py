@@ -117,13 +117,17 @@ SCHEMES = (
 
 def scheme_decoded(name: Column) -> Column:
     """(scheme, letter, meaning, serial, suffix) by the first scheme whose form the whole name has and whose letter has a meaning."""
-    out = F
-    for scheme, form, meaning in SCHEMES:
-        letter = F.regexp_extract(name, form, 1)
-        said = F.try_element_at(F.create_map(*[F.lit(x) for pair in meaning.items() for x in pair]), letter)
-        piece = F.struct(F.lit(scheme).alias("scheme"), letter.alias("letter"), said.alias("meaning"), F.regexp_extract(name, form, 2).cast("int").alias("serial"), F.regexp_extract(name, form, 3).alias("suffix"))
-        out = out.when(name.rlike(form) & said.isNotNull(), piece)
-    return out.otherwise(F.lit(None))
+
+    def read(x: Column) -> Column:
+        out = F
+        for scheme, form, meaning in SCHEMES:
+            letter = F.regexp_extract(x, form, 1)
+            said = F.try_element_at(F.create_map(*[F.lit(y) for pair in meaning.items() for y in pair]), letter)
+            piece = F.struct(F.lit(scheme).alias("scheme"), letter.alias("letter"), said.alias("meaning"), F.regexp_extract(x, form, 2).cast("int").alias("serial"), F.regexp_extract(x, form, 3).alias("suffix"))
+            out = out.when(x.rlike(form) & said.isNotNull(), piece)
+        return out.otherwise(F.lit(None))
+
+    return F.transform(F.array(name), read)[0]
 
 
 def shorter_names(name: Column, letters: int = 3) -> Column:

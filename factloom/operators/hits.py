@@ -1,61 +1,324 @@
-"""Names on a page: tokens with their place, judged one by one and then by the evidence of the whole page."""
+"""Names on a page: text made ready, tokens with their place judged one by one, then by the evidence of the whole page.
+
+Three small lists say what is known: a dictionary (name, part, kind), a reject list (tokens that are no components) and a census
+(part, kind; names that some source lists). They are broadcast behind a check of their size. A page is one row, so nothing is shuffled.
+
+The rules go in a fixed order; the first that applies decides. A token is judged `high`, `medium` or `low`, or `pending` until the
+page has been read; pending and low ones are then raised or dropped.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Shapes of families of names, whether the shape alone is proof, and what they are.
-FAMILIES = ((r"2N\d{3,4}[A-Z]?", True, "transistor"), (r"B[CDF]\d{3}[A-C]?", True, "transistor"), (r"1N\d{3,4}[A-Z]?", True, "diode"), (r"[A-Z]{2}\d{2,4}", False, "ic"), (r"\d{1,2}[A-Z]{1,2}\d{1,2}", False, "tube"))
-#: Shapes that are values or marks, not names.
-VALUES = r"\d+(V|A|W|K|M|R|N|P|U|HZ|KHZ|MHZ)\d*"
-DESIGNATOR = r"[A-Z]\d{1,3}"
-TOKEN = r"[A-Za-z0-9]*[0-9][A-Za-z0-9]*"
+#: Families of names by the public numbering standards, in order: (family, kind, shape of the whole token, whether
+#: the shape alone is proof). Written from JEDEC (1N, 2N, 3N), JIS C 7012 (2S...), Pro Electron (letters and two to three figures),
+#: RETMA valves, and makers' prefixes.
+FAMILIES = (
+    ("jedec diode", "diode", "1N[0-9]{2,4}[A-Z]{0,2}", True),
+    ("jedec transistor", "transistor", "[23]N[0-9]{3,4}[A-Z]?", True),
+    ("jis transistor", "transistor", "2S[A-D][0-9]{2,4}[A-Z]{0,2}", True),
+    ("jis fet", "fet", "2S[JK][0-9]{2,4}[A-Z]{0,2}", True),
+    ("pro electron germanium", "transistor", "(A[CDF][YZ]?1[0-9]{2}|OC[0-9]{2,3})[A-Z]?", True),
+    ("pro electron transistor", "transistor", "B[CDFSU][A-Z]?[0-9]{2,3}[A-C]?", True),
+    ("pro electron diode", "diode", "B(A[TVX]|Y[VWX]|Z[XY])[0-9]{2,3}[A-Z]?", True),
+    ("european valve", "tube", "E(ABC|BF|CC|CF|CH|CL|F|L|M|Y|Z)[0-9]{2,3}[A-Z]?", True),
+    ("regulator", "regulator", "(LM|UA|MC|L)?7[89][LM]?(05|06|08|09|12|15|18|24)[A-Z]{0,2}", True),
+    ("power transistor", "transistor", "(TIP|MJE|MPSA|ZTX)[0-9]{2,5}[A-Z]?", True),
+    ("operational amplifier", "ic", "(TL0[678][0-9]|NE55[0-9]{2}|LM[0-9]{3,4}|LF[0-9]{3}|OPA[0-9]{3,4}|UA7[0-9]{2})[A-Z]{0,2}", False),
+    ("logic", "ic", "(CD4[0-9]{3}|74[A-Z]{0,3}[0-9]{2,3})[A-Z]{0,2}", False),
+    ("fet", "fet", "(J[123][0-9]{2}|IRF[0-9]{3,4}|BS[0-9]{3})[A-Z]?", False),
+    ("converter", "ic", "(ADS|ADC|DAC|REF)[0-9]{3,5}[A-Z]{0,2}", False),
+    ("american valve", "tube", "[0-9]{1,2}[A-Z]{1,2}[0-9]{1,2}[A-Z]{0,2}", False),
+)
+#: Shapes of values and of noise, names of interfaces, labels, names that stand for a series, marked values that are in E24.
+VALUE = "[0-9]+[RKMUNPVWAHF][0-9]*|[0-9]+(UF|NF|PF|MH|UH|VA|MA|HZ|KHZ|DB|MM|CM)|[0-9]{1,2}V[0-9]|[RCLQDVTUJPMS][0-9]{1,3}[A-Z]?|(19|20)[0-9]{2}|(IC|TR|VR|SW|ZD|TP|JP)[0-9]{1,3}[A-Z]?"
+NOISE = "[5-7][A-HJ-L][0-9]{1,2}(-?[A-C])?|AC-?(10|15|30|50|100)"
+INTERFACES = ("RS232", "RS422", "RS485", "PL259", "SO239", "RG58", "RG213", "IEEE488")
+LABEL, WILDCARD, PIN_LABEL, MAINS = "(IN|OUT|LED|CH)[0-9]{1,2}", "[A-Z]{2,4}[0-9]+X{1,2}", "[0-9]{3,5}(INH|EN|OE|CS|CLK|RST)", "[AD]C[0-9]{2,3}V"
+E24 = "10 11 12 13 15 16 18 20 22 24 27 30 33 36 39 43 47 51 56 62 68 75 82 91".split()
+#: Real parts that look like designators; words near a valve and near a regulator; bare numbers of circuits.
+LIKE_DESIGNATORS = ("J111", "J112", "J113", "J174", "J175", "J176", "J201", "J202", "J309", "J310", "U309", "U310")
+VALVE_WORDS, REGULATOR_WORDS = r"\b(valves?|tubes?|triodes?|pentodes?|heaters?|anodes?|cathodes?|push[ -]?pull)\b", r"\b(regulators?|stabili[sz]ers?|IC[0-9]{1,2})\b"
+BARE = {"741": "UA741", "555": "NE555", "5532": "NE5532", "5534": "NE5534", "386": "LM386", "3900": "LM3900", "13700": "LM13700"}
+DESIGNATOR = r"\b(R|C|IC|TR|Q|D|VR|SW|L|T|J)[0-9]{1,3}\b"
+#: Prefixes after which a blank may part a name; letters that look like others; letters read for figures.
+SPLIT = re.compile(r"(?<![A-Za-z0-9])(BC|BD|BF|2N|1N|2S[ABCDJK]|LM|LF|TL|NE|OC|OA|AC|AD|ECC|EL|EF|TIP|ZTX)[  ]([0-9]{2,5}[A-Z]?)(?![A-Za-z0-9])")
+SHORT_SPLIT = ("AC", "AD", "OA", "EL", "LF")
+LOOKALIKES = str.maketrans("µμАВСЕКМНОРТХ—–‐‑", "UUABCEKMHOPTX----")
+FIGURES = str.maketrans("OILSB", "01158")
+TOKEN = re.compile(r"(?<![A-Za-z0-9])([A-Za-z0-9][A-Za-z0-9/\-]{2,15})(?![A-Za-z0-9])")
+GRADE = re.compile("((2S[ABCDJK][0-9]{2,4})[A-Z]?)-?(GR|BL|O|Y|R|P)$")
+SUFFIX = re.compile("-(ND|T|TR|TP|AP|BU|G|E3|PBF)$")
+#: Most entries that the lists may hold together to be broadcast.
+MOST_ENTRIES = 2_000_000
+
+_SHAPES = [(name, kind, re.compile(shape), strict) for name, kind, shape, strict in FAMILIES]
+_full = lambda shape: re.compile(f"(?:{shape})$").match
+_value, _noise, _label, _wildcard, _pin, _mains = map(_full, (VALUE, NOISE, LABEL, WILDCARD, PIN_LABEL, MAINS))
+
+
+def norm(name: str) -> str:
+    return re.sub("[^A-Z0-9]", "", name.upper())
 
 
-def judge(token: str) -> tuple[str, str] | None:
-    """(kind, confidence) of one token by its shape: high, pending (needs the page), or none."""
-    import re
+def family_of(token: str) -> tuple[str, str, bool] | None:
+    """(family, kind, strict) of the first family whose shape the whole token has."""
+    return next(((name, kind, strict) for name, kind, shape, strict in _SHAPES if shape.fullmatch(token)), None)
 
+
+def prepare(text: str) -> str:
+    """Letters that look like others in their plain form; names that a blank parts put together ('BC 109'), unless what stands
+    before is as well a word of its own ('AC 24')."""
+    joined = lambda m: m[0] if m[1].upper() in SHORT_SPLIT and len(re.sub("[^0-9]", "", m[2])) < 3 else m[1] + m[2]
+    return SPLIT.sub(joined, text.translate(LOOKALIKES))
+
+
+def canonical(token: str) -> str | None:
+    """Upper case; without a plural s, a hyphen after the maker's letters, a distributor's ending and a grade. None if a hyphen
+    is left: pins, ranges, names of products."""
     t = token.upper()
-    if not 3 <= len(t) <= 16:
+    if re.fullmatch("[A-Z0-9]*[0-9][A-Z]{0,2}[0-9]S|[A-Z]{1,4}[0-9]{2,5}S", t):
+        t = t[:-1]
+    t = SUFFIX.sub("", re.sub("^([A-Z]{2,5})-(?=[0-9])", r"\1", t))
+    if m := GRADE.match(t):
+        t = m[1]
+    return None if "-" in t else t
+
+
+def expand_slash(token: str) -> list[str]:
+    """BC107/8/9 and BF245A/B/C are three names each; one that owns its slash is one."""
+    if "/" not in token or family_of(token.upper()):
+        return [token]
+    head, *rest = token.split("/")
+    m = re.fullmatch("(.*?)([0-9]+)([A-Za-z]?)", head)
+    out = [head]
+    for piece in filter(None, rest):
+        if m and piece.isdigit() and len(piece) <= len(m[2]):
+            out.append(m[1] + m[2][: len(m[2]) - len(piece)] + piece)
+        elif m and len(piece) == 1 and piece.isalpha():
+            out.append(m[1] + m[2] + piece)
+        else:
+            out.append(piece)
+    return out
+
+
+@dataclass
+class Known:
+    """The three lists: dictionary by normal name, rejected tokens, census by normal name (the first entry of a name counts)."""
+
+    dictionary: dict[str, tuple[str, str]] = field(default_factory=dict)
+    rejected: set[str] = field(default_factory=set)
+    census: dict[str, str] = field(default_factory=dict)
+
+    def base_part(self, token: str) -> str:
+        """The name without one to three letters after its last figure, if what is left is a name."""
+        bare = re.sub("(?<=[0-9])[A-Z]{1,3}$", "", token)
+        if bare != token and ((len(bare) >= 4 and (norm(bare) in self.dictionary or family_of(bare))) or (re.fullmatch("[0-9][A-Z][0-9]", bare) and family_of(bare))):
+            return bare
+        return token
+
+    def valid(self, token: str) -> bool:
+        found = family_of(token)
+        return norm(token) in self.dictionary or bool(found and found[2] and re.search("[0-9]{3}", token))
+
+    def repaired(self, token: str) -> str | None:
+        """A token whose figures were read as letters (2N3O55, IN4148, BC1O9), if it is a name then; else none."""
+        fixed = re.sub("^[IL](?=N[0-9]{2,4}[A-Z]{0,2}$)", "1", token)
+        if fixed == token and re.fullmatch("ZN[0-9]{4}[A-Z]?", token):
+            fixed = "2" + token[1:]
+        if fixed != token:
+            return fixed if self.valid(fixed) else None
+        for n in range(1, 5):
+            m = re.fullmatch("([0-9OILSB]{2,5})([A-Z]{0,3})", token[n:])
+            if m and re.fullmatch("[123]?[A-Z]+", token[:n]) and re.search("[OILSB]", m[1]) and re.search("[0-9]", m[1]):
+                fixed = token[:n] + m[1].translate(FIGURES) + m[2]
+                if self.valid(fixed):
+                    return fixed
         return None
-    family = next(((kind, strict) for shape, strict, kind in FAMILIES if re.fullmatch(shape, t)), None)
-    if family and family[1]:
-        return family[0], "high"
-    if not family or re.fullmatch(VALUES, t) or re.fullmatch(DESIGNATOR, t):
+
+
+def agrees(a: str, b: str) -> bool:
+    """Whether two kinds may be one: general kinds go with everything on their side of valves and no valves."""
+    x, y = set(a.split("/")), set(b.split("/"))
+    if (x | y) & {"ic", "semiconductor"}:
+        return ("tube" in x) == ("tube" in y)
+    return bool(x & y)
+
+
+@dataclass
+class Hit:
+    part: str
+    base: str
+    kind: str
+    conf: str
+    fixed: bool
+    at: int
+    waits: str = ""
+
+
+def ambiguous(token: str) -> bool:
+    """A name that is as well a value, a designator, or a bare number."""
+    return bool(_value(token) or _noise(token) or re.fullmatch("[0-9]{3,4}[A-C]?", token))
+
+
+def judge(token: str, raw: str, text: str, at: int, isolated: bool, known: Known) -> Hit | None:
+    """The ladder: the first rule that applies."""
+    t, upper = token, text.upper()
+    entry = known.dictionary.get(norm(t)) or known.dictionary.get(norm(known.base_part(t)))
+    found = family_of(t)
+    marked = re.fullmatch("([0-9])[RKMV]([0-9])", t)
+    if _mains(t) or t in INTERFACES or _label(t) or _pin(t) or re.fullmatch("[0-9]+X[0-9]+", t) or (marked and marked[1] + marked[2] in E24):
+        return None
+    if _wildcard(t) and not entry and norm(t) not in known.census:
         return None
-    return family[0], "pending"
+    census = known.census.get(norm(t))
+    if found and found[0] == "european valve" and not entry and not census and norm(known.base_part(t)) not in known.census:
+        return None
+    strict = bool(found and found[2])
+    if t in known.rejected and not (entry or census or strict):
+        return None
+    hit = lambda kind, conf, fixed=False, waits="", part=None: Hit(part or t, known.base_part(part or t), kind, conf, fixed, at, waits)
+    if t in LIKE_DESIGNATORS:
+        return None if "-" in raw else hit("fet", "high" if isolated or entry else "medium")
+    sure = bool(entry) or strict
+    clear = not ambiguous(t)
+    if census is None and clear and not sure and not found:
+        census = known.census.get(norm(known.base_part(t)))
+    if census and not sure and len(t) >= 3 and (found is None or agrees(found[1], census)):
+        rescuable = re.fullmatch("[0-9]{1,2}[A-Z]{1,3}[0-9]{1,2}[A-Z]{0,3}|(?!19|20)[0-9]{4}[A-C]?", t)
+        if not clear:
+            return hit(census, "pending", waits="census") if rescuable else None
+        if found is None:
+            return hit(census, "pending", waits="census") if len(t) >= 4 or rescuable else None
+    if len(t) < 3 or ((_value(t) or _noise(t)) and not sure):
+        return None
+    if not (re.search("[0-9]", t) and re.search("[A-Z]", t)) and not found:
+        return None
+    if found is None and entry is None:
+        fixed = None if "-" in raw else known.repaired(t)
+        return hit(family_of(fixed)[1] if family_of(fixed) else "ic", "medium", True, part=fixed) if fixed else None
+    if found is None:
+        return hit(entry[1], "high", part=entry[0])
+    near = upper[max(0, at - 70) : at + len(raw) + 70]
+    if found[0] == "american valve" and not entry:
+        if re.search(VALVE_WORDS, near, re.I):
+            return hit("tube", "medium")
+        return hit("tube", "low") if isolated else None
+    if found[0] == "regulator" and re.fullmatch("[0-9]+", t):
+        if re.search(REGULATOR_WORDS, near, re.I):
+            return hit("regulator", "high")
+        return hit("regulator", "pending", waits="scheme") if isolated else None
+    return hit(entry[1] if entry else found[1], "high" if entry or strict else "medium", part=entry[0] if entry else None)
 
 
-def resolve(found: list[tuple[str, int, str, str]]) -> list[tuple[str, int, str, str]]:
-    """Hits of a page (part, place, kind, confidence): a pending one stays, as medium, where two others of its kind are on the page."""
-    kinds: dict[str, set[str]] = {}
-    for part, _, kind, _ in found:
-        kinds.setdefault(kind, set()).add(part)
-    return [(p, at, k, c if c == "high" else "medium") for p, at, k, c in found if c == "high" or len(kinds[k] - {p}) >= 2]
+def block_hits(text: str, known: Known, bare_allowed: bool) -> list[Hit]:
+    """All hits of one block."""
+    text = prepare(text)
+    isolated, out = len(text.strip()) <= 14, []
+    for m in TOKEN.finditer(text):
+        for piece in expand_slash(m[1]):
+            t = canonical(piece)
+            if t and (h := judge(t, piece, text, m.start(), isolated, known)):
+                out.append(h)
+    if bare_allowed:
+        out += [Hit(BARE[m[0]], BARE[m[0]], "ic", "medium", True, m.start()) for m in re.finditer(r"(?<![A-Za-z0-9.,/\-])[0-9]{3,5}(?![A-Za-z0-9.,/\-])", text) if m[0] in BARE]
+    return out
 
 
-def page_hits(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, part, kind, conf, n (times), first (place): one row for each name of a page. A page is one row, so nothing is shuffled."""
+def resolve(hits: list[Hit], designators: set[str], words: str, known: Known) -> list[Hit]:
+    """What the whole page says: names of the census that wait for others of their kind, dumps of figures, misread designators,
+    and valves among valves; in this order."""
+    for h in hits:
+        others = {(o.base, o.conf) for o in hits if o.base != h.base and agrees(o.kind, h.kind)}
+        settled = {b for b, c in others if c in ("high", "medium")}
+        kind = known.census.get(norm(h.part)) or known.census.get(norm(h.base))
+        if h.conf == "medium" and not h.fixed and kind and agrees(kind, h.kind) and any(c in ("high", "medium") for _, c in others):
+            h.waits = "raised"
+        elif h.conf == "pending":
+            said = bool(re.search(VALVE_WORDS if h.kind == "tube" else REGULATOR_WORDS, words, re.I))
+            enough = len({b for b, _ in others}) >= 2 if h.waits == "scheme" else len(settled) >= 2 or (len(settled) >= 1 and len(designators) >= 5)
+            if h.part.isdigit():
+                enough = enough and len(designators) >= 5
+            h.waits = "raised" if enough or said else "dropped"
+    for h in hits:
+        if h.waits == "raised":
+            h.conf = "high"
+    hits = [h for h in hits if h.waits != "dropped"]
+    dump = {h.part for h in hits if re.fullmatch("[0-9A-F]{4}", h.part) and h.kind == "tube" and norm(h.part) not in known.dictionary}
+    hits = [h for h in hits if len(dump) < 5 or h.part not in dump]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
+    def misread(h: Hit) -> bool:
+        """0D3 and 1C2 stand for D3 and C12 where two designators of that letter are about and this one is missing."""
+        m = re.fullmatch("([01])([A-Z])([0-9]{1,2})", h.part)
+        if not m or h.conf == "high":
+            return False
+        series = {d for d in designators if re.fullmatch(f"{m[2]}[0-9]+", d)}
+        return len(series) >= 2 and m[2] + m[3] not in designators
 
-        token = re.compile(TOKEN)
+    hits = [h for h in hits if not misread(h)]
+    jacks = len({d for d in designators if d[0] == "J"}) >= 2
+    hits = [h for h in hits if not (jacks and h.part in LIKE_DESIGNATORS and h.conf != "high" and h.part[0] == "J")]
+    tubes = {h.base for h in hits if h.kind == "tube"}
+    for h in hits:
+        if h.kind == "tube" and h.conf == "low":
+            h.conf = "medium" if len(tubes - {h.base}) >= 2 or re.search(VALVE_WORDS, words, re.I) else "dropped"
+    return [h for h in hits if h.conf != "dropped"]
+
+
+def page_of(blocks: list[str], known: Known) -> list[Hit]:
+    """Hits of a page, each with the place of its block's text in `at` as block * 10^6 + offset."""
+    words = "\n".join(b or "" for b in blocks)
+    designators = set(re.findall(r"\b(?:R|C|IC|TR|Q|D|VR|SW|L|T|J)[0-9]{1,3}\b", words))
+    hits = []
+    for k, text in enumerate(blocks):
+        for h in block_hits(text or "", known, len(designators) >= 5):
+            h.at += k * 1_000_000
+            hits.append(h)
+    return resolve(hits, designators, words, known)
+
+
+def load(dictionary: DataFrame | None, rejected: DataFrame | None, census: DataFrame | None) -> Known:
+    """The lists on the driver, if they are small enough to be broadcast: (name, part, kind), (token), (part, kind)."""
+    out = Known()
+    sizes = [df.count() if df is not None else 0 for df in (dictionary, rejected, census)]
+    if sum(sizes) > MOST_ENTRIES:
+        raise ValueError(f"the lists hold {sum(sizes)} entries; {MOST_ENTRIES} at most can be broadcast")
+    if dictionary is not None:
+        out.dictionary = {norm(r["name"]): (r["part"], r["kind"]) for r in dictionary.orderBy(F.desc("name"), F.desc("part")).collect()}
+    if rejected is not None:
+        out.rejected = {r["token"].upper() for r in rejected.collect()}
+    if census is not None:
+        for r in census.orderBy("part", "kind").collect():
+            out.census.setdefault(norm(r["part"]), r["kind"])
+    return out
+
+
+def page_hits(pages: DataFrame, id_col: str, text_col: str, known: Known | None = None) -> DataFrame:
+    """id, part, base, kind, conf, fixed, n (times), first (place): one row for each name of a page. The text is an array of blocks,
+    or one text whose lines are its blocks. Of a name's hits the surest counts, the first of those; fixed if any was."""
+    shared = pages.sparkSession.sparkContext.broadcast(known or Known())
+    rank = {"high": 0, "medium": 1, "low": 2}
+    text = F.col(text_col) if pages.schema[text_col].dataType.typeName() == "array" else F.split(text_col, "\n", -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = [(m[0].upper(), m.start(), *j) for m in token.finditer(text or "") if (j := judge(m[0]))]
-                merged: dict[str, list] = {}
-                for part, at, kind, conf in resolve(found):
-                    merged.setdefault(part, [key, part, kind, conf, 0, at])[4] += 1
-                out += merged.values()
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "part", "kind", "conf", "n", "first"])
-
-    return pages.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "id long, part string, kind string, conf string, n long, first long")
+            for key, blocks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                merged: dict[str, list[Hit]] = {}
+                for h in page_of(blocks or [], shared.value):
+                    merged.setdefault(h.part, []).append(h)
+                for part, hits in merged.items():
+                    best = min(hits, key=lambda h: (rank[h.conf], h.at))
+                    out.append((key, part, best.base, best.kind, best.conf, any(h.fixed for h in hits), len(hits), best.at))
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            kinds = [pa.int64(), *[pa.string()] * 4, pa.bool_(), pa.int64(), pa.int64()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "part", "base", "kind", "conf", "fixed", "n", "first"])
+
+    return pages.select(F.col(id_col).cast("long"), text).mapInArrow(run, "id long, part string, base string, kind string, conf string, fixed boolean, n long, first long")

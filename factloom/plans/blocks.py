@@ -11,7 +11,7 @@ from factloom.plans.registry import query
 
 TEXT = """CASE l_linenumber % 7 WHEN 0 THEN concat('2N', 3000 + l_suppkey, 'A') WHEN 1 THEN concat('R', l_suppkey % 40) WHEN 2 THEN CASE WHEN l_returnflag = 'R' THEN concat('£', l_suppkey % 9, '.50') ELSE concat(l_suppkey % 9, '.75 ea') END
  WHEN 3 THEN CASE WHEN l_returnflag = 'A' THEN 'The circuit is shown in fig 3 and the output is connected as shown' ELSE 'MAIL ORDER CATALOGUE 35p' END
- WHEN 4 THEN CASE WHEN l_quantity > 25 THEN '12.50' ELSE '4k7' END WHEN 5 THEN CASE WHEN l_tax > 0.05 THEN 'Tel: 555 High Street, London www.x.co.uk' ELSE concat('IC', l_suppkey % 9) END ELSE concat('BC', 100 + l_suppkey % 40, ' 2.30 each') END"""
+ WHEN 4 THEN CASE WHEN l_quantity > 25 THEN '12.50' ELSE '4k7' END WHEN 5 THEN CASE WHEN l_tax > 0.05 THEN 'Tel: 57 High Street, London www.x.co.uk' ELSE concat('IC', l_suppkey % 9) END ELSE concat('BC', 100 + l_suppkey % 40, ' 2.30 each') END"""
 BLOCKS = f"""(SELECT l_partkey AS page, l_orderkey * 10 + l_linenumber AS block, l_suppkey * 5.0 AS x0, l_suppkey * 5.0 + 10 + l_quantity AS x1, l_linenumber * 40.0 AS y0, l_linenumber * 40.0 + 12 AS y1, 0.75 + l_discount AS conf, {TEXT} AS text FROM lineitem)"""
 NAME = "^(2N[0-9]+[A-Z]?|BC[0-9]+)"
 
@@ -30,10 +30,14 @@ def duck(p: str) -> str:
 
 MANY = lambda p: f"len(regexp_extract_all(text, '{duck(p)}'))"
 WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))"
-FEATURES = f"""(SELECT page, count(*)::BIGINT AS blocks, greatest(sum({WORDS}), 1)::BIGINT AS words, (sum({MANY(P.PRICE)}) + CASE WHEN sum({MANY(P.MONEY_WORDS)}) > 0 THEN sum({MANY(P.WEAK_PRICE)}) ELSE 0 END)::BIGINT AS prices,
+def features_sql(source: str) -> str:
+    return f"""(SELECT page, count(*)::BIGINT AS blocks, greatest(sum({WORDS}), 1)::BIGINT AS words, (sum({MANY(P.PRICE)}) + CASE WHEN sum({MANY(P.MONEY_WORDS)}) > 0 THEN sum({MANY(P.WEAK_PRICE)}) ELSE 0 END)::BIGINT AS prices,
  count(*) FILTER (WHERE regexp_matches(trim(text), '{P.BARE_PRICE}'))::BIGINT AS bare_prices, sum({MANY(P.MONEY_WORDS)})::BIGINT AS money_words, sum({MANY(P.ADDRESS)})::BIGINT AS address, sum({MANY(P.CONTACT)})::BIGINT AS contacts, sum({MANY(P.ARTICLE_WORDS)})::BIGINT AS article_words,
  len(list_distinct(flatten(list(regexp_extract_all(text, '{P.DESIGNATOR}')))))::BIGINT AS ref_des, (sum(CASE WHEN {WORDS} >= 8 OR ({WORDS} >= 4 AND regexp_matches(trim(text), '{duck(P.PROSE)}')) THEN {WORDS} ELSE 0 END) / greatest(sum({WORDS}), 1))::DOUBLE AS prose,
- (count(*) FILTER (WHERE length(text) >= 6 AND upper(text) = text AND regexp_matches(text, '[A-Z]')) / count(*))::DOUBLE AS capitals, list_sort(list(x1 - x0))[(count(*) // 2 + 1)::BIGINT]::DOUBLE AS median_width FROM {BLOCKS} WHERE conf >= {P.SURE} AND trim(text) <> '' GROUP BY page)"""
+ (count(*) FILTER (WHERE length(text) >= 6 AND upper(text) = text AND regexp_matches(text, '[A-Z]')) / count(*))::DOUBLE AS capitals, list_sort(list(x1 - x0))[(count(*) // 2 + 1)::BIGINT]::DOUBLE AS median_width FROM {source} WHERE conf >= {P.SURE} AND trim(text) <> '' GROUP BY page)"""
+
+
+FEATURES = features_sql(BLOCKS)
 
 
 @query(f"SELECT page, blocks, words, prices, bare_prices, money_words, address, contacts, article_words, ref_des, round(prose, 6) AS prose, round(capitals, 6) AS capitals, median_width FROM {FEATURES}")
@@ -101,6 +105,35 @@ def advert_confusion(t):
     return rows.agg(F.count(F.lit(1)).alias("pages"), F.count_if("advert").alias("adverts"), F.max("score").alias("highest"), F.min("score").alias("lowest"))
 
 
+#: Documents as pages: every line is a block as wide as it is long.
+LINES = "(SELECT doc_id AS page, 0.0 AS x0, length(l)::DOUBLE AS x1, 1.0 AS conf, l AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents))"
+DOCUMENTS = f"(SELECT *, ({P.score_text()})::INTEGER AS score FROM (SELECT *, 0 AS parts, 0 AS priced_rows, 0.0 AS seq_run FROM {features_sql(LINES)}))"
+
+
+def judged_documents(t):
+    none = lambda c: F.lit(0).alias(c)
+    lines = t.documents.select(F.col("doc_id").alias("page"), F.explode(F.split("text", "\n", -1)).alias("text"))
+    lines = lines.select("page", "text", F.lit(0.0).alias("x0"), F.length("text").cast("double").alias("x1"), F.lit(1.0).alias("conf"))
+    return P.scored(P.page_features(lines).select("*", none("parts"), none("priced_rows"), none("seq_run")))
+
+
+@query(f"SELECT page AS doc_id, score, score >= {P.ADVERT} AS advert FROM {DOCUMENTS}")
+def advert_scores(t):
+    """The advert's score of every document."""
+    return judged_documents(t).select(F.col("page").alias("doc_id"), "score", "advert")
+
+
+@query(f"""SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE a AND quality = 0)::BIGINT AS caught, count(*) FILTER (WHERE a AND quality = 1)::BIGINT AS lost,
+ round(count(*) FILTER (WHERE a AND quality = 0) / greatest(count(*) FILTER (WHERE a), 1), 4) AS precision, round(count(*) FILTER (WHERE a AND quality = 0) / greatest(count(*) FILTER (WHERE quality = 0), 1), 4) AS recall
+ FROM (SELECT page AS doc_id, score >= {P.ADVERT} AS a FROM {DOCUMENTS}) JOIN labels USING (doc_id)""")
+def score_against_labels(t):
+    """Precision and recall of the score, as if documents of no quality were adverts."""
+    rows = judged_documents(t).select(F.col("page").alias("doc_id"), F.col("advert").alias("a")).join(t.labels, "doc_id")
+    a, bad = F.col("a"), F.col("quality") == 0
+    ratio = lambda x, y: F.round(F.count_if(x) / F.greatest(F.count_if(y), F.lit(1)), 4)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(a & bad).alias("caught"), F.count_if(a & ~bad).alias("lost"), ratio(a & bad, a).alias("precision"), ratio(a & bad, bad).alias("recall"))
+
+
 @query(f"""WITH b AS (SELECT page, block, trim(text) AS text, (x0 + x1) / 2 AS x, (y0 + y1) / 2 AS y FROM {BLOCKS}),
  n AS (SELECT a.page, a.block, c.text AS label, c.block AS other, round(sqrt((a.x - c.x) ** 2 + (a.y - c.y) ** 2), 6) AS d FROM b a JOIN b c ON a.page = c.page AND a.block <> c.block WHERE regexp_matches(a.text, '{NAME}') AND regexp_matches(c.text, '{P.SHORT_LABEL}')),
  k AS (SELECT *, row_number() OVER (PARTITION BY page, block ORDER BY d, label, other) AS place FROM n WHERE d <= 96.0)
@@ -170,3 +203,19 @@ def polarity_words(t):
     rows = t.part.select("p_partkey", F.regexp_replace(text, "(?i)(complement(ary)? (of|to)|replaces)[^,;.]*", "").alias("x"))
     n, p = F.col("x").rlike(r"(?i)\bn-?p-?n\b"), F.col("x").rlike(r"(?i)\bp-?n-?p\b")
     return rows.select("p_partkey", F.when(n & ~p, "npn").when(p & ~n, "pnp").alias("polarity"))
+
+
+@query(f"""WITH n AS (SELECT page, (CASE WHEN regexp_matches(text, '^2N') THEN regexp_extract(text, '^(2N[0-9]+A)$', 1) ELSE regexp_extract(text, '^(BC[0-9]+)', 1) END) AS part FROM {BLOCKS} WHERE {NAMED})
+ SELECT page, part, 'transistor' AS kind, 'high' AS conf, count(*)::BIGINT AS n FROM n GROUP BY page, part
+ UNION ALL SELECT page, 'NE' || f AS part, 'ic' AS kind, 'high' AS conf, count(*)::BIGINT AS n FROM (SELECT page, 5500 + page % 90 AS f FROM {BLOCKS}) WHERE page % 4 = 0 GROUP BY page, f""")
+def page_hits(t):
+    """Names printed on pages of blocks, by dictionary, census and shape; and an amplifier that the dictionary alone makes sure."""
+    from factloom.operators import hits
+
+    known = t.part.where("p_partkey % 4 = 0").select(F.concat(F.lit("NE"), F.lit(5500) + F.col("p_partkey") % 90).alias("name")).distinct()
+    known = known.select("name", F.col("name").alias("part"), F.lit("ic").alias("kind"))
+    pages = blocks(t).groupBy("page").agg(F.sort_array(F.collect_list(F.struct("block", "text"))).alias("b"), F.count(F.lit(1)).alias("k"))
+    more = F.when(F.col("page") % 4 == 0, F.transform(F.sequence(F.lit(1), F.col("k")), lambda _: F.concat(F.lit("uses NE"), F.lit(5500) + F.col("page") % 90, F.lit(" inside the unit")))).otherwise(F.array().cast("array<string>"))
+    pages = pages.select("page", F.concat(F.transform("b", lambda x: x["text"]), more).alias("texts"))
+    found = hits.page_hits(pages, "page", "texts", hits.load(known, None, None))
+    return found.select(F.col("id").alias("page"), "part", "kind", "conf", "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from factloom.plans import blocks, facts, ledger, matching, measures, names, serving, sheets, texts, usage  # noqa: F401  they register their queries
+from factloom.plans import blocks, facts, files, ledger, matching, measures, names, serving, sheets, texts, usage  # noqa: F401  they register their queries
 from factloom.plans.registry import QUERIES, SQL, Query
 
 

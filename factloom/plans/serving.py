@@ -59,13 +59,13 @@ def by_date(t):
     return core.ranked(t.orders.select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderdate"), ["o_custkey"], [dated.isNull(), dated, F.col("o_orderkey")], "place").select("o_custkey", "o_orderkey", "place")
 
 
-@query("""WITH s AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 9 = 0 THEN 'moved/' || c_name ELSE c_name END AS name, c_acctbal::INTEGER AS stars FROM customer WHERE c_mktsegment <> 'MACHINERY')
+@query("""WITH s AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 9 = 0 THEN 'moved/' || c_name ELSE c_name END AS name, floor(c_acctbal)::INTEGER AS stars FROM customer WHERE c_mktsegment <> 'MACHINERY')
  SELECT c_nationkey, name, stars, row_number() OVER (PARTITION BY c_nationkey ORDER BY stars DESC, name) AS place FROM s QUALIFY place <= 20""")
 def repositories(t):
     """Repositories of a topic by stars and name, at most twenty: gone ones left out, moved ones under their new name."""
     rows = t.customer.where("c_mktsegment <> 'MACHINERY'")
     name = F.when(F.col("c_custkey") % 9 == 0, F.concat(F.lit("moved/"), "c_name")).otherwise(F.col("c_name"))
-    rows = rows.select("c_nationkey", name.alias("name"), F.round("c_acctbal").cast("int").alias("stars"))
+    rows = rows.select("c_nationkey", name.alias("name"), F.floor("c_acctbal").cast("int").alias("stars"))
     place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("stars"), "name"))
     return rows.withColumn("place", place).where("place <= 20")
 
@@ -132,11 +132,11 @@ def claims_from_words(t):
     return library.union(sheet)
 
 
-@query("SELECT 'register' AS source, p_name AS part, p_brand AS maker, NULL::VARCHAR AS stock FROM part WHERE p_size > 30 UNION ALL SELECT 'supplier', s_name, NULL, s_acctbal::INTEGER::VARCHAR FROM supplier")
+@query("SELECT 'register' AS source, p_name AS part, p_brand AS maker, NULL::VARCHAR AS stock FROM part WHERE p_size > 30 UNION ALL SELECT 'supplier', s_name, NULL, floor(s_acctbal)::INTEGER::VARCHAR FROM supplier")
 def catalogue_facts(t):
     """Tables with different columns under one another."""
     register = t.part.where("p_size > 30").select(F.lit("register").alias("source"), F.col("p_name").alias("part"), F.col("p_brand").alias("maker"))
-    return register.unionByName(t.supplier.select(F.lit("supplier").alias("source"), F.col("s_name").alias("part"), F.round("s_acctbal").cast("int").cast("string").alias("stock")), allowMissingColumns=True)
+    return register.unionByName(t.supplier.select(F.lit("supplier").alias("source"), F.col("s_name").alias("part"), F.floor("s_acctbal").cast("int").cast("string").alias("stock")), allowMissingColumns=True)
 
 
 @query("SELECT p_name AS part, p_partkey AS sheet, '' AS note FROM part UNION ALL SELECT a, p_partkey, 'also ' || p_name FROM (SELECT p_partkey, p_name, unnest(string_split(p_brand || ' ' || p_type, ' ')) AS a FROM part WHERE p_size < 15)")
