@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.common import Scratch, table
-from factloom.llm.graph import connected_components, forest
+from factloom.llm.graph import connected_components
 from factloom.llm.jaccard import groups
 
 THRESHOLD = 0.98
@@ -218,10 +218,30 @@ def by_values(rows: pa.Table, columns: tuple[str, ...]) -> Iterator[tuple[tuple[
         yield tuple(x.tolist()), np.flatnonzero((values == x).all(axis=1))
 
 
+def joined(component: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """component (for each node its component's least node) after links between i and j: least labels spread over the links of
+    components, with pointers doubled, until nothing changes."""
+    a, b = component[i], component[j]
+    apart = a != b
+    pairs = np.unique(a[apart] * len(component) + b[apart])
+    a, b = pairs // len(component), pairs % len(component)
+    least = np.arange(len(component))
+    while len(a):
+        new = least.copy()
+        np.minimum.at(new, least[a], least[b])
+        np.minimum.at(new, least[b], least[a])
+        new = new[new]
+        if np.array_equal(new, least):
+            break
+        least = new
+    return least[component]
+
+
 def links_of(blocks: list[dict], ga: int, gb: int, axes: dict[int, np.ndarray], threshold: float, reach: float) -> Iterator[pa.RecordBatch]:
     """nid, links and root for the pairs of near blocks, the first of group ga, the second of group gb.
 
-    The forest spans all tiles of the two groups, so at most as many rows leave it as there are vectors in the groups.
+    Links of one pair of blocks at a time become counts and components, so memory is that of one tile however many are alike;
+    and at most as many rows leave as there are vectors in the groups.
     """
     dim = blocks[0]["dim"]
     shift = next(s for s in (3, 2, 1, 0) if s == 0 or (2 << s) * BLOCK * 8 * dim <= GROUP_BYTES)
@@ -230,7 +250,7 @@ def links_of(blocks: list[dict], ga: int, gb: int, axes: dict[int, np.ndarray],
     nid, weight = (np.concatenate([np.frombuffer(x[c], np.int64) for x in blocks]) for c in ("nid", "weight"))
     first = np.cumsum([0, *map(len, vectors)])
     near = in_reach(np.array([x["lo"] for x in blocks]), np.array([x["hi"] for x in blocks]), reach)
-    links, parent = np.zeros(len(nid), np.int64), {}
+    links, component = np.zeros(len(nid)), np.arange(len(nid))
     for x, a in enumerate(blocks):
         for y in range(x, len(blocks)):
             b = blocks[y]
@@ -238,17 +258,11 @@ def links_of(blocks: list[dict], ga: int, gb: int, axes: dict[int, np.ndarray],
                 continue
             i, j = linked_pairs(vectors[x], vectors[y], axes.get(dim), threshold, x == y)
             i, j = i + first[x], j + first[y]
-            np.add.at(links, i, weight[j])
-            np.add.at(links, j, weight[i])
-            parent[x, y] = (i, j)
-    if not parent:
-        return
-    root = np.arange(len(nid))
-    i, j = (np.concatenate([p[k] for p in parent.values()]) for k in (0, 1))
-    for x, r in forest(len(nid), i, j):
-        root[x] = r
+            links += np.bincount(i, weight[j], len(nid)) + np.bincount(j, weight[i], len(nid))
+            component = joined(component, i, j)
     at = np.flatnonzero(links)
-    yield pa.record_batch([pa.array(nid[at]), pa.array(links[at]), pa.array(nid[root[at]])], names=["nid", "links", "root"])
+    if len(at):
+        yield pa.record_batch([pa.array(nid[at]), pa.array(links[at].astype(np.int64)), pa.array(nid[component[at]])], names=["nid", "links", "root"])
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
@@ -279,9 +293,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     tiles = tiles_of(pairs, found).repartition("tile").sortWithinPartitions("tile")
     links = scratch.write(tiles.mapInArrow(compare, "nid long, links long, root long"), "links", arrow_rows=16)
-    joined = connected_components(links.select(F.col("nid").alias("u"), F.col("root").alias("v")), "embedding-components")
+    classes = connected_components(links.select(F.col("nid").alias("u"), F.col("root").alias("v")), "embedding-components")
     counted = links.groupBy("nid").agg(F.sum("links").alias("links"))
-    whole = nodes.select("nid", "weight", "least").join(joined, nodes["nid"] == joined["node"], "left").drop("node").join(counted, "nid", "left")
+    whole = nodes.select("nid", "weight", "least").join(classes, nodes["nid"] == classes["node"], "left").drop("node").join(counted, "nid", "left")
     whole = scratch.write(whole.select("nid", "least", F.coalesce("component", "nid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "whole")
     names = whole.groupBy("component").agg(F.min("least").alias("component_id"))
     whole = whole.join(names, "component").select("nid", "component_id", "n_links")

@@ -92,3 +92,21 @@ def test_axes_are_bounded(spark, monkeypatch):
     rows = made()
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
     assert sorted(map(tuple, near_vectors(df).collect()), key=str) == brute(rows)
+
+
+def test_components_from_links():
+    rng = np.random.default_rng(3)
+    component = np.arange(500)
+    parent = list(range(500))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in ((np.arange(0, 200), np.arange(1, 201)), (rng.integers(0, 500, 60), rng.integers(0, 500, 60)), (np.array([], int), np.array([], int))):
+        component = embeddings.joined(component, i, j)
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            x, y = root(x), root(y)
+            parent[max(x, y)] = min(x, y)
+    assert component.tolist() == [root(x) for x in range(500)]
