@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 from factloom.llm.common import Scratch, table
 
 #: Words that a Python worker remembers with their ids; beyond it words are encoded anew each time.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Texts that go to a Python worker together.
+TEXTS = 2000
 #: Characters of texts that are worked on together; one longer text is worked on by itself.
-TOGETHER = 4 << 20
+TOGETHER = 1 << 21
 TOKENS = "pid int, at long, doc_id long, doc_tokens long, starts long, ids binary"
-PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: White space other than single blanks and line ends between words: such texts are encoded whole.
 UNEVEN = r"^$|^[ \n]|[ \n]$|[ \n][ \n]|[\t\x{0b}\x{0c}\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -57,9 +58,11 @@ class TextEncoder:
 
     def __init__(self, spec: str, remembered: int = REMEMBERED):
         import json
+        import os
 
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the threads; more would hold memory of their own
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -83,8 +86,11 @@ class TextEncoder:
     def learn(self, words: list[str]) -> tuple[np.ndarray, int]:
         """Ids of the words one after the other and how many there are of each: a blank stands before a word, unless a line
         end opens it. Words are encoded many together: each begins with the one id that is a blank's or the line end."""
-        together = ["".join(words[k : k + 256]) for k in range(0, len(words), 256)]
-        ids = np.fromiter(chain.from_iterable(self.whole(together)), np.uint32)
+        parts = [np.zeros(0, np.uint32)]
+        for at in range(0, len(words), 1 << 13):
+            together = ["".join(words[k : k + 256]) for k in range(at, min(at + (1 << 13), len(words)), 256)]
+            parts.append(np.fromiter(chain.from_iterable(self.whole(together)), np.uint32))
+        ids = np.concatenate(parts)
         first = np.flatnonzero(ids == self.line_end[0] if words[0][0] == "\n" else self.blank[ids])
         return ids, np.diff(np.append(first, len(ids)))
 
@@ -177,28 +183,20 @@ def token_rows(docs: DataFrame, tokenizer_json: str, id_col: str, text_col: str,
                     names=["pid", "at", "doc_id", "doc_tokens", "starts", "ids"],
                 )
                 at, starts = at + rows, starts + int(ends[-1])
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, TOKENS)
 
 
 def cut(rows: DataFrame, length: int) -> DataFrame:
-    """Pass two: rows of doc_id, doc_tokens, begins (global offset) and ids, cut at the multiples of length."""
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in in_portions(batch, 3):
-                n, begins = (part.column(c).to_numpy() for c in ("doc_tokens", "begins"))
-                count = (begins + n - 1) // length - begins // length + 1
-                row = np.repeat(np.arange(part.num_rows), count)
-                k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                sequence = begins[row] // length + k
-                start = np.maximum(0, sequence * length - begins[row])
-                size = np.minimum(n[row], (sequence + 1) * length - begins[row]) - start
-                ids = np.frombuffer(b"".join(part.column("ids").to_pylist()), "<u4")
-                columns = [part.column("doc_id").take(pa.array(row)), start, size, n[row], sequence, (begins[row] + start) % length]
-                yield pa.record_batch([*[pa.array(c, pa.int64()) if isinstance(c, np.ndarray) else c for c in columns], byte_rows(ids, np.cumsum(size))], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
-
-    return rows.select("doc_id", "doc_tokens", "begins", "ids").mapInArrow(pieces, PIECES)
+    """Pass two: rows of doc_id, doc_tokens, begins (global offset) and ids, cut at the multiples of length, in the JVM."""
+    first, last = F.expr(f"begins div {length}"), F.expr(f"(begins + doc_tokens - 1) div {length}")
+    rows = rows.select("doc_id", "doc_tokens", "begins", "ids", F.explode(F.sequence(first, last)).alias("sequence_id"))
+    start = F.greatest(F.lit(0).cast("bigint"), F.col("sequence_id") * length - F.col("begins"))
+    rows = rows.withColumn("start", start)
+    rows = rows.withColumn("length", F.least("doc_tokens", (F.col("sequence_id") + 1) * length - F.col("begins")) - F.col("start"))
+    ids = F.substring("ids", (4 * F.col("start") + 1).cast("int"), (4 * F.col("length")).cast("int"))
+    return rows.select("doc_id", "start", "length", "doc_tokens", "sequence_id", ((F.col("begins") + F.col("start")) % length).alias("offset"), ids.alias("ids"))
 
 
 def pack(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col: str = "text", length: int = 1024, end_id: int = 0) -> DataFrame:
@@ -210,7 +208,7 @@ def pack(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", text_col:
     call of the tokenizer. Only the tokenizer's own file and one total for each partition go to the driver or to all executors.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    rows = scratch.write(token_rows(docs, tokenizer_json, id_col, text_col, end_id), "tokens")
+    rows = scratch.write(token_rows(docs, tokenizer_json, id_col, text_col, end_id), "tokens", TEXTS)
     totals = rows.groupBy("pid").agg(F.sum("doc_tokens").alias("total"))
     before = F.coalesce(F.sum("total").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = totals.select("pid", before.alias("base"))  # as many rows as the input has partitions
