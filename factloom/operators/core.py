@@ -146,19 +146,19 @@ def expanded_keys(definitions: DataFrame, name: str, element: str | None = None)
     return definitions.withColumn("key", F.explode(keys)).where("key <> ''")
 
 
-def matched(wanted: DataFrame, keys: DataFrame, tag: Column | None = None, block: int = 3) -> DataFrame:
+def matched(wanted: DataFrame, keys: DataFrame, tag: str | None = None, least: int = 3) -> DataFrame:
     """part, key, how: 0 equal; 1 the key goes on for one to four characters, not with a digit, and with none at all unless
-    they are a reel code or follow a mark of a model's tag; 2 the part is the key and a grade letter.
+    they are a reel code or the condition tag (SQL, over key and tail) holds; 2 the part is the key and a grade letter.
 
-    An equality on the first characters makes it a hash join, the rest is a filter on its rows. Parts shorter than the block
-    match only what equals them; a key shorter than it none but its equal or its grades of block length.
+    A key stands under itself and under what is left of it without its last one to four characters (least characters at least),
+    a part under itself and without its grade; so both joins are equalities on whole names, and no beginning that many names
+    share makes pairs that are then thrown away.
     """
-    a, b = F.col("part"), F.col("key")
-    rows = wanted.withColumn("_b", F.substring("part", 1, block)).join(keys.withColumn("_b", F.substring("key", 1, block)), "_b")
-    more = F.length(b) - F.length(a)
-    tail = F.substring(b, F.length(a) + 1, F.length(b))
-    plain = ~tail.rlike("[0-9]") | tail.rlike(REEL) | (F.lit(False) if tag is None else tag)
-    suffix = (F.length(a) >= block) & F.startswith(b, a) & more.between(1, 4) & ~tail.rlike("^[0-9]") & plain
-    grade = F.startswith(a, b) & (more == -1) & (F.length(b) >= 4) & F.substring(a, F.length(a), F.lit(1)).rlike(f"[{GRADES}]")
-    how = F.when(a == b, 0).when(suffix, 1).when(grade, 2)
-    return rows.select("part", "key", how.alias("how")).where("how is not null")
+    tail = lambda n: F.right("key", F.lit(n))
+    plain = lambda t, n: (F.length("key") - n >= least) & ~t.rlike("^[0-9]") & (~t.rlike("[0-9]") | t.rlike(REEL) | (F.expr(tag.replace("tail", f"right(key, {n})")) if tag else F.lit(False)))
+    under = [F.struct(F.col("key").alias("part"), F.lit(0).alias("how"))]
+    under += [F.when(plain(tail(n), n), F.struct(F.substring(F.col("key"), F.lit(1), F.length("key") - n).alias("part"), F.lit(1).alias("how"))) for n in range(1, 5)]
+    rows = keys.select("key", F.explode(F.array_compact(F.array(*under))).alias("u")).select("key", "u.*").where("part <> ''")
+    found = wanted.select("part").join(rows, "part").select("part", "key", "how")
+    graded = wanted.where(F.col("part").rlike(f"[{GRADES}]$") & (F.length("part") >= 5)).select("part", F.substring(F.col("part"), F.lit(1), F.length("part") - 1).alias("key"))
+    return found.union(graded.join(keys.select("key"), "key").select("part", "key", F.lit(2).alias("how")))
