@@ -31,6 +31,8 @@ THRESHOLD = 0.8
 DEPTH = 2
 #: Probabilities that a pair at the threshold meets in no run, and that its samples drop it; samples of a set at least.
 MISSED, UNSEEN, SAMPLES = 5e-6, 1e-6, 72
+#: Texts and sets that go to a Python worker together.
+TEXTS = 2000
 #: Sets that are compared with each other in one step at most (a bucket, or two tiles of half of it).
 BUCKET = 1024
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -307,7 +309,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(spark, "jaccard")
     runs = runs or runs_for(threshold, depth)
     count = max(SAMPLES, runs * depth)
-    members = scratch.write(signed_sets(docs, id_col, text_col, count), "members")
+    members = scratch.write(signed_sets(docs, id_col, text_col, count), "members", TEXTS)
     alike = members.where("sid is not null").groupBy("sid").agg(F.min("sid2").alias("a"), F.max("sid2").alias("b")).where("a <> b").select("sid")
     clashes = scratch.write(alike, "clashes")
     clashes = clashes if clashes.head(1) else None  # some 25 in 3 * 10^10 different sets
@@ -332,7 +334,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = texts.groupBy("tk", F.xxhash64(F.lit(2), "t")).agg(F.first("t").alias("t")).select(hashed_words("t").alias("wh"))
     built = told_apart(texts.mapInArrow(tokens, "sid long, sid2 long, tokens binary"), clashes).dropDuplicates(["sid"])
     schema = pa.schema([("sid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
-    links = scratch.write(per_group(close.join(built.hint("merge"), "sid"), "cell", second_look(threshold), "sid long, links long, root long", schema), "links")
+    links = scratch.write(per_group(close.join(built.hint("merge"), "sid"), "cell", second_look(threshold), "sid long, links long, root long", schema), "links", TEXTS)
     linked = links.groupBy("sid").agg(F.sum("links").alias("links"))
     classes = connected_components(links.select(F.col("sid").alias("u"), F.col("root").alias("v")), "jaccard-classes")
     nodes = sets.select("sid", "weight").join(classes, sets["sid"] == classes["node"], "left").drop("node").join(linked, "sid", "left")
