@@ -217,10 +217,12 @@ def highest_since(t):
 
 @query("""WITH g AS (SELECT user_id, min(value) AS lo, max(value) AS hi FROM events GROUP BY 1) SELECT user_id, k::INTEGER AS k, round(lo + (hi - lo) * k / 8, 6) AS linear, round(lo * pow(hi / lo, k / 8), 6) AS logarithmic FROM g, range(0, 9) t(k)""")
 def sampling_grid(t):
-    """Nine places between the ends of a series, evenly spaced and evenly spaced in the logarithm."""
+    """Nine places between the ends of a series, evenly spaced and evenly spaced in the logarithm; a series that begins at zero has
+    no places of the latter kind but its beginning, the others are NaN."""
     g = t.events.groupBy("user_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     rows = g.select("user_id", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"))
-    return rows.select("user_id", "k", F.round(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / 8, 6).alias("linear"), F.round(F.col("lo") * F.pow(F.col("hi") / F.col("lo"), F.col("k") / 8), 6).alias("logarithmic"))
+    ratio = F.when(F.col("lo") == 0, F.lit(float("nan"))).otherwise(F.col("hi") / F.col("lo"))  # a division by zero would end the query
+    return rows.select("user_id", "k", F.round(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("k") / 8, 6).alias("linear"), F.round(F.col("lo") * F.pow(ratio, F.col("k") / 8), 6).alias("logarithmic"))
 
 
 @query("""WITH a AS (SELECT user_id, min(value) AS lo, quantile_disc(value, 0.9) AS hi FROM events GROUP BY 1)
