@@ -182,7 +182,7 @@ def unsigned_notes(t):
 def design_values(t):
     """What a value field of a design says: a value, a rail, a header, or a part. The first shape that fits counts."""
     value = F.expr("CASE p_size % 5 WHEN 0 THEN '4k7' WHEN 1 THEN '100nF' WHEN 2 THEN concat('BC', 100 + p_partkey) WHEN 3 THEN '+12V' ELSE 'CONN-2' END")
-    what = F.when(F.col("value").rlike(P.VALUE_LABEL), "value").when(F.col("value").rlike("^[+-]?[0-9]+(V[0-9]?|V)$|^(GND|VCC|VDD)$"), "rail").when(F.col("value").rlike("^(CONN|HDR|PIN)"), "header").when(F.col("value").rlike("^[A-Z]{2,4}[0-9]{2,5}[A-Z]?$"), "part").otherwise("none")
+    what = F.when(F.col("value").rlike(P.VALUE_LABEL), "value").when(F.col("value").rlike("^[+-]?[0-9]+(V[0-9]?|V)$|^(GND|VCC|VDD)$"), "rail").when(F.col("value").rlike("^(CONN|HDR|PIN)"), "header").when(F.col("value").rlike("^[A-Z]{2,4}[0-9]{2,}[A-Z]?$"), "part").otherwise("none")
     return t.part.select("p_partkey", value.alias("value")).select("p_partkey", "value", what.alias("what"))
 
 

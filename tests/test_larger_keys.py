@@ -25,3 +25,10 @@ def test_grids_of_series_that_begin_at_zero(spark, tmp_path):
     same, rows = same_rows(spark, tmp_path, "sampling_grid", events=events)
     assert same and len(rows) == 81
     assert ("1", "8", "8", "nan") in rows and ("1", "0", "0", "0") in rows and ("3", "4", "257", "32") in rows
+
+
+def test_design_values_of_longer_numbers(spark, tmp_path):
+    keys = (0, 19_999, 99_899, 99_900, 1_199_999, 10**12, 10**18)
+    part = spark.createDataFrame([(k + n, n % 5) for k in keys for n in range(5)], "p_partkey long, p_size int")
+    same, rows = same_rows(spark, tmp_path, "design_values", part=part)
+    assert same and len(rows) == 35 and (str(10**18 + 2), "BC1000000000000000102", "part") in rows
